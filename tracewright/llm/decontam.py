@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settle
+from .scratch import small
 
 #: spaced seeds of weight 7 (fixed values)
 MASKS = ("11101001101", "10110010111")
@@ -57,19 +57,13 @@ def _positions(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFram
     return cut.select(name, F.posexplode(_seeds(F.col("w")))).select(name, F.expr(f"pos div {len(MASKS)}").cast("int").alias(f"{name}_at"), F.col("col").alias("seed"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` written, with a broadcast hint if it has at most ``rows`` rows."""
-    df = settle(df)
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """doc_id, item_id, n_window, n_equal: the best window of each contaminated (document, item)."""
-    seeds = _small(_positions(benchmark, item_col, item_text, "item"), broadcast_seeds)
+    seeds = small(_positions(benchmark, item_col, item_text, "item"), broadcast_seeds)
     place = _positions(docs, id_col, text_col, "doc")
     hits = place.join(seeds, "seed").select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = _small(hits.where(F.col("doc").isNotNull() & F.col("item").isNotNull()), broadcast_hits)
-    items = _small(benchmark.select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("b")).distinct(), broadcast_hits)
+    hits = small(hits.where(F.col("doc").isNotNull() & F.col("item").isNotNull()), broadcast_hits)
+    items = small(benchmark.select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("b")).distinct(), broadcast_hits)
     words = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     met = hits.join(items, "item").join(words, "doc").withColumn("w", tokens(F.col("text"))).drop("text")
     first = F.greatest(F.lit(0), -F.col("diagonal"))
@@ -83,5 +77,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_hits: int = BROADCAST_HITS, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without the contaminated ones; rows with a null id stay."""
-    bad = _small(contaminated(docs, benchmark, id_col=id_col, broadcast_hits=broadcast_hits, **options).select(F.col("doc_id").alias("__tw_bad")).distinct(), broadcast_hits)
+    bad = small(contaminated(docs, benchmark, id_col=id_col, broadcast_hits=broadcast_hits, **options).select(F.col("doc_id").alias("__tw_bad")).distinct(), broadcast_hits)
     return docs.join(bad, F.col(id_col).cast("long") == F.col("__tw_bad"), "left_anti")

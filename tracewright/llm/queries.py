@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, lines, secrets
 from .decontam import contaminated
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_report
 from .substring import substring_dedup
@@ -54,6 +55,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

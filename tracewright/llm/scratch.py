@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -33,6 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` written, with a broadcast hint if it turns out to have at most ``rows`` rows."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def clear() -> None:
     """Delete what ``settle`` wrote; call it once no DataFrame built on it is in use."""
     while _written:

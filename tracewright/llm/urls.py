@@ -9,9 +9,10 @@ Unigrams are words of all pages' text and delimited names of all urls, counted
 in parallel and kept above a share of MIN_SHARE of all words, which bounds the
 model to 1 / MIN_SHARE words. The classifier is fitted on labelled rows: urls
 that a rule decides, at most TRAIN_ROWS of them, picked by hash, and the fixed
-word lists below, each word counted SEED_WEIGHT times. What the rules are about
-(the registered suffix and the first path name) is a feature like any other, so
-SEED_WEIGHT sets how much a plain word of the lists outweighs it.
+word lists below, each word counted SEED_WEIGHT times. What the rules themselves
+name (a suffix, a language) says nothing where no rule fits, so these names,
+numbers and words under three letters are no features. A url is blocked if the
+odds of block exceed BLOCK_ODDS to one.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule, and is judged by the class priors alone; a null html counts no words;
@@ -36,6 +37,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 TRAIN_ROWS = 20_000
 SEED_WEIGHT = 200
 MIN_SHARE = 1e-5
+BLOCK_ODDS = 9.0
 LONGEST = 24
 # Words that name unwanted and ordinary sites.
 BLOCK_WORDS = ("adult", "bet", "betting", "bonus", "casino", "cheap", "crack", "dating", "escort", "free", "gambling", "hack", "jackpot", "keygen", "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "viagra", "warez", "x", "xxx")
@@ -123,12 +125,14 @@ class Segmenter:
         return self.seen.setdefault(name, tuple(reversed(out)))
 
 
-def features(host: str, path: str, cut: Segmenter) -> list[str]:
-    """Segmented words of host and path; numbers count as one word."""
-    out = []
-    for name in _NAME.findall(host + " " + path.lower()):
-        out += ["#"] if name[0].isdigit() else cut.words(name)
-    return out
+def features(host: str, path: str, cut: Segmenter, named: frozenset[str] = frozenset()) -> list[str]:
+    """Segmented words of host and path, without those in ``named``, numbers and words under three letters."""
+    words = [w for name in _NAME.findall(host + " " + path.lower()) if name not in named and not name[0].isdigit() for w in cut.words(name)]
+    return [w for w in words if len(w) > 2 and w not in named]
+
+
+def rule_names(rules: tuple) -> frozenset[str]:
+    return frozenset(name for rule, _ in rules for name in _NAME.findall(rule))
 
 
 class Bayes:
@@ -157,18 +161,18 @@ def fit(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: t
     verdicts = dict(rules)
     ruled = _ruled(pages, url_col, [], rules).where(F.col("rule").isNotNull()).select("host", "path", "rule")
     sample = ruled.orderBy(F.xxhash64("host", "path"), "host", "path").limit(train_rows).collect()
-    return cut, Bayes([(features(r["host"], r["path"], cut), verdicts[r["rule"]] == "block") for r in sample])
+    return cut, Bayes([(features(r["host"], r["path"], cut, rule_names(rules)), verdicts[r["rule"]] == "block") for r in sample])
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's log odds of block for every row."""
     cut, bayes = fit(pages, url_col, html_col, rules, train_rows)
-    verdicts = dict(rules)
+    verdicts, named = dict(rules), rule_names(rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            odds = [bayes.score(features(h, p, cut)) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            verdict = [verdicts[r] if r else "block" if o > 0 else "allow" for r, o in zip(b.column(3).to_pylist(), odds, strict=True)]
+            odds = [bayes.score(features(h, p, cut, named)) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            verdict = [verdicts[r] if r else "block" if o > math.log(BLOCK_ODDS) else "allow" for r, o in zip(b.column(3).to_pylist(), odds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "block_odds"])
 
     ruled = _ruled(pages, url_col, [F.col(id_col).cast("long").alias("page_id")], rules).select("page_id", "host", "path", "rule")
