@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_report
 from .substring import substring_dedup
+from .suffix import suffix_dedup
 from .urls import url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(_table(spark, sf_dir, "documents")))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytekit as K
+from . import exchange as X
 from . import homes as H
 
 #: minimal difference covers by period (fixed values)
@@ -69,50 +70,23 @@ def _anchors(w: K.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _say(home: int, buckets: int, found: np.ndarray, flags: np.ndarray, docs: np.ndarray | None = None) -> pa.Table:
-    """One row per bucket: sorted hashes, for each whether the home has it twice, and ids."""
-    cut = K.cuts(found, buckets)
-    rows = [(b, i, j) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-    cols = {
-        "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
-        "home": pa.array([home] * len(rows), pa.int32()),
-        "hashes": pa.array([K.blob(found[i:j]) for _, i, j in rows], pa.binary()),
-        "flags": pa.array([K.blob(np.packbits(flags[i:j])) for _, i, j in rows], pa.binary()),
-    }
-    if docs is not None:
-        cols["docs"] = pa.array([K.blob(docs[i:j]) for _, i, j in rows], pa.binary())
-    return pa.table(cols)
-
-
-def _bits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
-ANCHOR = "bucket int, home int, hashes binary, flags binary"
-WINDOW = ANCHOR + ", docs binary"
-REPLY = "home int, lost binary, multi binary"
-
-
-def _reply(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-    rows = [r for r in rows if len(r[1]) or len(r[2])]
-    return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "lost": pa.array([K.blob(r[1]) for r in rows], pa.binary()), "multi": pa.array([K.blob(r[2]) for r in rows], pa.binary())})
+WINDOW = X.HASHES + ", docs binary"
 
 
 def _tell_anchors(window: int, buckets: int):
     def tell(key, t):
         found = [_anchors(K.Words(buf, off), window)[1] for _, buf, off in _chunks(t)]
         found, again = K.distinct(np.concatenate(found) if found else np.zeros(0, K.U))
-        return _say(key[0].as_py(), buckets, found, K.within(found, again))
+        return X.say(key[0].as_py(), buckets, found, K.within(found, again))
 
     return tell
 
 
 def _repeated(t):
     """The anchors of a bucket that two homes have, or one home twice."""
-    homes, blobs, flags = t.column("home").to_pylist(), [np.frombuffer(b, K.U) for b in t.column("hashes").to_pylist()], t.column("flags").to_pylist()
-    own = [_bits(f, len(b)) for f, b in zip(flags, blobs, strict=True)]
+    homes, blobs, own = X.heard(t)
     _, again = K.distinct(np.concatenate(blobs))
-    return _reply([(h, b[K.within(b, again) | f], b[:0]) for h, b, f in zip(homes, blobs, own, strict=True)])
+    return X.reply([(h, b[K.within(b, again) | f], b[:0]) for h, b, f in zip(homes, blobs, own, strict=True)])
 
 
 def _tell_windows(window: int, buckets: int):
@@ -136,15 +110,15 @@ def _tell_windows(window: int, buckets: int):
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         at = np.flatnonzero(new)
-        return _say(key[0].as_py(), buckets, h[at], np.diff(np.append(at, len(h))) > 1, d[at])
+        return X.say(key[0].as_py(), buckets, h[at], np.diff(np.append(at, len(h))) > 1, d[at])
 
     return tell
 
 
 def _owned(t):
     """For each home: hashes that an earlier document has, and others that it has twice itself."""
-    homes, blobs = t.column("home").to_pylist(), [np.frombuffer(b, K.U) for b in t.column("hashes").to_pylist()]
-    flags = np.concatenate([_bits(f, len(b)) for f, b in zip(t.column("flags").to_pylist(), blobs, strict=True)])
+    homes, blobs, flags = X.heard(t)
+    flags = np.concatenate(flags)
     docs, h = K.unblob(t.column("docs"), np.int64), np.concatenate(blobs)
     _, again = K.distinct(h)
     lost, both = np.zeros(len(h), bool), np.flatnonzero(K.within(h, again))
@@ -157,7 +131,7 @@ def _owned(t):
         s = slice(i, i + len(b))
         out.append((home, b[lost[s]], b[flags[s] & ~lost[s]]))
         i += len(b)
-    return _reply(out)
+    return X.reply(out)
 
 
 def _covered(window: int):
@@ -213,8 +187,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     spark = docs.sparkSession
     homes, buckets = H.counts(spark, docs)
     home = H.housed(docs, id_col, text_col, homes)
-    hot = home.groupBy("home").applyInArrow(_tell_anchors(window, buckets), ANCHOR).groupBy("bucket").applyInArrow(_repeated, REPLY)
-    told = home.groupBy("home").cogroup(hot.groupBy("home")).applyInArrow(_tell_windows(window, buckets), WINDOW).groupBy("bucket").applyInArrow(_owned, REPLY)
+    hot = home.groupBy("home").applyInArrow(_tell_anchors(window, buckets), X.HASHES).groupBy("bucket").applyInArrow(_repeated, X.REPLY)
+    told = home.groupBy("home").cogroup(hot.groupBy("home")).applyInArrow(_tell_windows(window, buckets), WINDOW).groupBy("bucket").applyInArrow(_owned, X.REPLY)
     cut, shape = _covered(window), _digest if digest else _texts
     out = home.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(lambda key, t, r: shape(cut(key, t, r)), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string")
     return out.withColumn("doc_id", H.named(out["doc_id"]))
