@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small
+from .scratch import settle, small
 
 #: spaced seeds of weight 7 (fixed values)
 MASKS = ("11101001101", "10110010111")
@@ -65,7 +65,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     hits = small(hits.where(F.col("doc").isNotNull() & F.col("item").isNotNull()), broadcast_hits)
     items = small(benchmark.select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("b")).distinct(), broadcast_hits)
     words = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    met = hits.join(items, "item").join(words, "doc").withColumn("w", tokens(F.col("text"))).drop("text")
+    # written: an expression over ``w`` would else cut the text again at every place it looks at
+    met = settle(hits.join(items, "item").join(words, "doc").withColumn("w", tokens(F.col("text"))).drop("text"))
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     last = F.least(F.size("b"), F.size("w") - F.col("diagonal")) - 1
     equal = F.transform(F.sequence(first, last), lambda i: (F.get("b", i) == F.get("w", i + F.col("diagonal"))).cast("int"))
