@@ -7,22 +7,31 @@ value of each slot. Results equal those of the batch functions.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import templates as M
 from ..sources.store import scratch_path
 
+#: state processors travel whole: their workers do not see files added to the application
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
-    """A stream of the files of a stored table, with its schema."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """A stream of the files of a stored table, be it a folder or one file, with its schema."""
+    stored = spark.read.parquet(path)
+    reader = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", max_files)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if any(f.rstrip("/").endswith(f"/{name}") for f in stored.inputFiles()[:1]):
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def matched(lines: DataFrame, bank: list[M.Template]) -> DataFrame:
