@@ -34,9 +34,9 @@ class Template:
     def anchor(self) -> str:
         return max((x.strip() for x in self.literals), key=len, default="")
 
-    def pattern(self, quote=lambda s: r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E") -> str:
-        """An anchored expression with one lazy group per parameter."""
-        return "^" + "(.*?)".join(quote(x) if x else "" for x in self.literals) + "$"
+    def pattern(self, quote=lambda s: r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E", end: str = r"\z") -> str:
+        """An anchored expression with one lazy group per parameter; ``end`` is the dialect's very end of the text."""
+        return "^" + "(.*?)".join(quote(x) if x else "" for x in self.literals) + end
 
 
 def event_id(raw: str) -> int | None:
@@ -76,7 +76,7 @@ def _match_batches(lines: DataFrame, bank: list[Template], line: str) -> DataFra
     """The same by compiled expressions, for banks too large for one expression chain."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(t.event_id, t.anchor, re.compile(t.pattern(re.escape), re.S)) for t in bank]
+        compiled = [(t.event_id, t.anchor, re.compile(t.pattern(re.escape, r"\Z"), re.S)) for t in bank]
         for b in batches:
             found = [next(((e, list(m.groups())) for e, a, x in compiled if a in s and (m := x.match(s))), (None, None)) if s is not None else (None, None) for s in b[line]]
             yield b.assign(event_id=pd.array([e for e, _ in found], dtype="Int64"), params=[p for _, p in found])

@@ -240,7 +240,7 @@ def _quote(s: str) -> str:
 
 
 def _case(then: Callable[[M.Template, str], str], default: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(line, '{t.pattern(_quote)}') THEN {then(t, t.pattern(_quote))}" for t in BANK) + f" ELSE {default} END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(line, '{t.pattern(_quote, '$')}') THEN {then(t, t.pattern(_quote, '$'))}" for t in BANK) + f" ELSE {default} END"
 
 
 MATCHED = TRACE + ",\nmatched AS (SELECT *, " + _case(lambda t, p: str(t.event_id)) + " AS event_id FROM trace)"
