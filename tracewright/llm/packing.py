@@ -48,7 +48,7 @@ from .scratch import settle
 
 SIZE = 2048
 END_ID = 0
-NODES = 20_000
+NODES = 10_000
 CACHE = 400_000
 SPECIAL = ("<|endoftext|>",)
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
@@ -185,8 +185,23 @@ def best_fit(counts: dict[int, int], size: int) -> list[Pattern]:
     return done + [(p, n) for groups in room.values() for p, n in groups]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 12, tries: int = 4000) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` out of the lengths left (descending), least waste first."""
+def fillings(lengths: list[int], counts: dict[int, int], room: int, pairs: bool = True) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` out of the lengths left (descending), least waste first.
+
+    One item that fills the room dominates all fillings, and a filling without
+    waste is dominated by none; so one item and, with ``pairs``, two are tried first.
+    """
+    if counts.get(room):
+        return [(room,)]
+    most, tries = (3, 600) if pairs else (12, 4000)  # fillings wanted, and branches tried
+    exact: list[tuple[int, ...]] = []
+    for x in lengths if pairs else ():
+        if 2 * x < room or len(exact) == most:
+            break
+        if x < room and counts.get(room - x, 0) > (2 * x == room):
+            exact.append((x, room - x))
+    if exact:
+        return exact
     found: list[tuple[int, tuple[int, ...]]] = []
     left = [tries]
 
@@ -225,7 +240,7 @@ def complete(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> li
     fewest = [sum(n for _, n in incumbent[0])]
     least, total, budget = lower_bound(counts, size), sum(k * c for k, c in counts.items()), [nodes]
 
-    def search(left: dict[int, int], used: list[Pattern], bins: int, waste: int) -> None:
+    def search(left: dict[int, int], used: list[Pattern], bins: int, waste: int, pairs: bool) -> None:
         """Depth first over fillings of the largest length left, an explicit stack of choices."""
         stack = [(left, used, bins, waste)]
         while stack and fewest[0] > least and budget[0] > 0:
@@ -241,15 +256,17 @@ def complete(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> li
             first = lengths[0]
             rest = dict(left)
             rest[first] -= 1
-            choices = fillings([x for x in lengths if rest[x]], rest, size - first) or [()]
+            choices = fillings([x for x in lengths if rest[x]], rest, size - first, pairs) or [()]
             for fill in reversed(choices[: 3 if len(stack) < 64 else 1]):
                 pattern = (first, *fill)
                 often = min(left[x] // pattern.count(x) for x in set(pattern))
                 after = {x: c - often * pattern.count(x) for x, c in left.items()}
                 stack.append(({x: c for x, c in after.items() if c}, [*used, (pattern, often)], bins + often, waste + often * (size - sum(pattern))))
 
-    if fewest[0] > least:
-        search(counts, [], 0, 0)
+    for pairs in (True, False):  # two orders of fillings, each with half of the nodes
+        budget[0] = nodes // 2
+        if fewest[0] > least:
+            search(counts, [], 0, 0, pairs)
     return incumbent[0]
 
 
