@@ -16,12 +16,14 @@ from tracewright.llm.neardup import near_dedup
 from tracewright.llm.packing import pack_documents
 from tracewright.llm.quality import quality_filter
 from tracewright.llm.scratch import settle
+from tracewright.ship import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    ship(spark)
     return quality_filter(docs)
 
 

@@ -13,18 +13,21 @@ BANDS bands of ROWS bins are joined: a pair at 75 % escapes all of them with
 probability (1 - 0.75**3)**24, about 2 in a million.
 
 Plan. Equal sets (exact copies) are one class, found by a grouped minimum.
-Class representatives fall into buckets, one a band. A bucket's members are not
-paired with each other: first each is verified against one pivot, picked by a
-hash per bucket, so that a group in many buckets meets many pivots. Links
-contract into components, and only pairs of one bucket in *different*
-components, of sizes that allow 75 %, are still open; while those outnumber the
-members by CROWD, further pivots are tried, then all of them are verified. No
-link between different texts is lost and no partner is capped. Verification
-intersects the full sets, built for representatives in shared buckets alone.
+Class representatives fall into buckets, one a band; those that share a bucket
+get a wide sketch of WIDE bins, one bit each. A bucket's members meet in blocks
+of about BLOCK, in which wide sketches are compared: estimates are off by more
+than MARGIN with a probability of about 2 in a million, so a pair is *surely*
+linked above, *open* between, and dismissed below. Only a star around the first
+member of each surely linked cluster is told, and open pairs between clusters;
+so a group of copies sends about one pair a member. Every pair told is verified
+on the full sets, and verified links alone connect. Buckets of several blocks
+then compare members outside their largest component with all others, block by
+block. No candidate is capped or sampled.
 
 Defined cases: a document without words has an empty set, no links, and stands
-for itself; a null id counts as one id later than all others; rows that repeat
-an id are one node and are kept or dropped together. Other columns are ignored
+for itself; a null id counts as one id later than all others. A set stands under
+the smallest id that has it: rows that repeat an id are judged by their texts,
+and sets that stand under the same id count as one. Other columns are ignored
 by ``near_duplicates`` and kept by ``near_dedup``; empty tables give empty results.
 """
 
@@ -47,8 +50,13 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 24, 3
 T = BANDS * ROWS
-#: open pairs per member above which another pivot is tried first, and how often
-CROWD, PIVOTS = 4, 4
+#: bins of the wide sketch, and how far its estimate is trusted: 4.75 standard deviations at 75 %, where bits agree with probability 7/8
+WIDE = 8192
+MARGIN = 4.75 * 2 * (7 / 64 / WIDE) ** 0.5
+#: documents sketched at a time (8 WIDE bytes each)
+SKETCHED = 512
+#: members of a bucket compared in one task
+BLOCK, OUTSIDE = 1024, 256
 #: ids that may be broadcast (8 bytes each)
 BROADCAST_IDS = 500_000
 
@@ -71,21 +79,38 @@ def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.
 
 
 def sketch(sets: np.ndarray, at: np.ndarray, t: int = T) -> np.ndarray:
-    """(documents, t) bins: round << 32 | value. Documents without elements keep all-ones."""
-    n = len(at) - 1
-    out = np.full((n, t), ~K.U(0))
+    """(documents, t) bins: round << 32 | value. Documents without elements keep all-ones.
+
+    Rounds are taken several at a time where elements are few: a bin keeps its
+    first round whatever comes after, so that rounds too many change nothing.
+    """
+    n, none = len(at) - 1, ~K.U(0)
+    out = np.full((n, t), none)
     flat = out.reshape(-1)
-    doc = np.repeat(np.arange(n), np.diff(at))
-    for r in range(2 * t):
-        if not len(sets):
-            break
-        g = K.mix(sets ^ K.U(((r + 1) * 0x9E3779B97F4A7C15) & K._MASK))
-        b = ((g >> K.U(32)) * K.U(t)) >> K.U(32) if r < t else np.full(len(g), r - t, K.U)
-        np.minimum.at(flat, doc * t + b.astype(np.int64), (K.U(r) << K.U(32)) | (g & K.U(0xFFFFFFFF)))
-        lacks = (out == ~K.U(0)).any(1)
-        more = lacks[doc]
-        if not more.all():
-            sets, doc = sets[more], doc[more]
+    doc, elements = np.repeat(np.arange(n), np.diff(at)), sets
+
+    def hashed(x: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        return K.mix(x ^ ((rounds.astype(K.U) + K.U(1)) * K.U(0x9E3779B97F4A7C15)))
+
+    r = turn = 0
+    while r < t and len(elements):
+        some = max(1, min(t - r, (1 << 17) // len(elements)))
+        rounds = np.repeat(np.arange(r, r + some), len(elements))
+        g = hashed(np.tile(elements, some), rounds)
+        b = ((g >> K.U(32)) * K.U(t)) >> K.U(32)
+        np.minimum.at(flat, np.tile(doc, some) * t + b.astype(np.int64), (rounds.astype(K.U) << K.U(32)) | (g & K.U(0xFFFFFFFF)))
+        r, turn = r + some, turn + 1
+        if n * t <= 16 * len(elements) * some or turn % 8 == 0:
+            more = (out == none).any(1)[doc]
+            if not more.all():
+                elements, doc = elements[more], doc[more]
+    for d in np.flatnonzero((out == none).any(1) & (np.diff(at) > 0)):  # bins that no round of throws has hit
+        bins = np.flatnonzero(out[d] == none)
+        own = sets[at[d] : at[d + 1]]
+        for i in range(0, len(bins), max(1, (1 << 17) // len(own))):
+            part = bins[i : i + max(1, (1 << 17) // len(own))]
+            g = hashed(np.tile(own, len(part)), np.repeat(t + part, len(own))).reshape(len(part), len(own))
+            out[d, part] = ((t + part).astype(K.U) << K.U(32)) | (g & K.U(0xFFFFFFFF)).min(1)
     return out
 
 
@@ -126,12 +151,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array([_set_key(s) for s in each], pa.binary()), flat], names=["doc_id", "n_shingles", "set_key", "bands"])
 
 
+def wide_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """(documents, WIDE / 64) words of one bit per bin of a wide sketch."""
+    out = np.zeros((len(sets), WIDE // 64), K.U)
+    order = np.argsort([len(s) for s in sets], kind="stable")  # like sizes need like numbers of rounds
+    for i in range(0, len(sets), SKETCHED):
+        pick = order[i : i + SKETCHED]
+        bins = sketch(np.concatenate([sets[k] for k in pick]), np.concatenate(([0], np.cumsum([len(sets[k]) for k in pick]))), WIDE)
+        out[pick] = np.packbits((K.mix(bins) & K.U(1)).astype(bool), axis=1).view(K.U)
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, off = K.utf8(b.column(1))
-        for i, j in K.chunks(off):
-            each = _distinct(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in each], pa.binary())], names=["rep", "shingles"])
+        each = [s for i, j in K.chunks(off) for s in _distinct(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i]))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in each], pa.binary()), pa.array([w.tobytes() for w in wide_bits(each)], pa.binary())], names=["rep", "shingles", "wide"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,35 +184,136 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    sets = sets.select("rep", "shingles")
     left = pairs.join(sets.withColumnRenamed("shingles", "sa"), pairs["a"] == sets["rep"]).select("a", "b", "sa")
     both = left.join(sets.withColumnRenamed("shingles", "sb"), F.col("b") == F.col("rep")).select("a", "b", "sa", "sb")
-    return settle(both.mapInArrow(_linked, "a long, b long").distinct())
+    return settle(both.mapInArrow(_linked, "a long, b long"))
 
 
-def _fitting(pairs: DataFrame) -> DataFrame:
-    """Distinct ordered pairs out of (x, nx, y, ny) whose sizes allow the similarity."""
-    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT
-    return pairs.where((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _pivoted(members: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with the bucket's pivot of this turn, if in another component."""
-    least = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("h"), "rep", "n", "component")).alias("p"))
-    met = members.join(least, "key").where(F.col("p.component") != F.col("component"))
-    return _fitting(met.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p.rep").alias("y"), F.col("p.n").alias("ny")))
+def _estimates(wide: np.ndarray, n: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of a member with others; 0 where sizes rule the links out."""
+    fits = np.flatnonzero(100 * np.minimum(n[one], n[others]) >= PERCENT * np.maximum(n[one], n[others]))
+    out = np.zeros(len(others))
+    out[fits] = 1 - 2 / WIDE * np.bitwise_count(wide[others[fits]] ^ wide[one]).sum(1, dtype=np.int64)
+    return out
 
 
-def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their components, in buckets that still hold two or more."""
-    now = members.drop("component").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return now.join(split, "key").select("rep", "n", "key", "component")
+_SURE, _OPEN = PERCENT / 100 + MARGIN, PERCENT / 100 - MARGIN
+
+
+def _cluster(n: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs to verify in a block: stars of sure links, and open pairs between clusters."""
+    m, out = len(n), []
+    cluster, rest = np.full(m, -1), np.arange(m)
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        cluster[first] = first
+        near = _estimates(wide, n, first, rest)
+        sure = near >= _SURE
+        out += [(first, x) for x in rest[sure]]
+        cluster[rest[sure]] = first
+        rest = rest[~sure]
+    if len(np.unique(cluster)) > 1:  # across clusters: one sure pair joins two of them, open ones are all told
+        found: list[tuple[int, int, float]] = []
+        for x in range(m - 1):
+            others = np.flatnonzero(cluster[x + 1 :] != cluster[x]) + x + 1
+            near = _estimates(wide, n, x, others)
+            found += [(x, y, e) for y, e in zip(others[near >= _OPEN].tolist(), near[near >= _OPEN].tolist(), strict=True)]
+        root = {c: c for c in np.unique(cluster).tolist()}
+
+        def of(x: int) -> int:
+            c = int(cluster[x])
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x, y, e in sorted(found, key=lambda f: -f[2]):
+            if of(x) != of(y):
+                out.append((x, y))
+                if e >= _SURE:
+                    root[of(x)] = of(y)
+    return out
 
 
-def _open(members: DataFrame) -> int:
-    """Pairs of members of one bucket and different components."""
-    each = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return int(each.agg(F.sum(F.expr("s * s - q")).alias("n")).first()["n"] or 0) // 2
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Whole groups, as tables, out of batches sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(b.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        now = tuple(int(c[0]) for c in cols)
+        change[0] = last is not None and now != last
+        cut = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for i, j in zip(cut, cut[1:], strict=False):
+            if held and j > i and change[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if j > i:
+                held.append(b.slice(i, j - i))
+        last = tuple(int(c[-1]) for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _wide(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("wide").to_pylist()), K.U).reshape(t.num_rows, WIDE // 64)
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs told by each block (key, block, rep, n, wide)."""
+    a, b = [], []
+    for t in _runs(batches, 2):
+        if t.num_rows > 1:
+            rep = t.column("rep").to_numpy()
+            for x, y in _cluster(t.column("n").to_numpy(), _wide(t)):
+                if rep[x] != rep[y]:
+                    a.append(int(min(rep[x], rep[y])))
+                    b.append(int(max(rep[x], rep[y])))
+        if len(a) > 50_000:
+            yield _pairs(a, b)
+            a, b = [], []
+    yield _pairs(a, b)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one outside block with one block of all members (key, part, outside, rep, n, component, wide)."""
+    a, b = [], []
+    for t in _runs(batches, 2):
+        rep, n, comp, wide = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy(), _wide(t)
+        out = t.column("outside").to_numpy()
+        every = np.flatnonzero(~out)
+        for x in np.flatnonzero(out):
+            others = every[comp[every] != comp[x]]
+            for y in others[_estimates(wide, n, x, others) >= _OPEN]:
+                a.append(int(min(rep[x], rep[y])))
+                b.append(int(max(rep[x], rep[y])))
+        if len(a) > 50_000:
+            yield _pairs(a, b)
+            a, b = [], []
+    yield _pairs(a, b)
+
+
+def _crossed(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Open pairs of buckets with several blocks, between members outside the largest component and all others."""
+    now = members.where(F.col("size") > BLOCK).join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    each = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c")).alias("n_out"), "all").where("n_out > 0")
+    now = settle(now.join(most, "key").select("key", "rep", "n", "component", (F.col("component") != F.col("main")).alias("is_out"), F.ceil(F.col("n_out") / OUTSIDE).cast("int").alias("outs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("alls")))
+    spot = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
+    outside = now.where("is_out").select("*", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("col")).withColumn("part", F.col("col") * F.col("outs") + spot("outs")).withColumn("outside", F.lit(True))
+    every = now.select("*", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("col")).withColumn("part", spot("alls") * F.col("outs") + F.col("col")).withColumn("outside", F.lit(False))
+    cols = ["key", "part", "outside", "rep", "n", "component"]
+    dealt = outside.select(*cols).unionByName(every.select(*cols)).join(sets.select("rep", "wide"), "rep").select(*cols, "wide")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -187,27 +323,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = settle(texts.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     classes = settle(found.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("set_key", F.col("n_shingles").alias("n"), F.col("first.doc_id").alias("rep"), "first.bands"))
     entries = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = settle(entries.join(shared, "key").select("rep", "n", "key", F.col("rep").alias("component")))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = settle(entries.join(shared, "key").select("rep", "n", "key", "size"))
     involved = small(members.select(F.col("rep").alias("doc_id")).distinct(), broadcast_ids)
-    sets = settle(texts.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, shingles binary"))
-
-    tried = settle(_pivoted(members, 0))
-    links = _verify(tried, sets)
-    comps = settle(components(links))
-    members = settle(_labelled(members, comps))
-    for turn in range(1, PIVOTS):
-        if _open(members) <= CROWD * members.count():
-            break
-        pairs = settle(_pivoted(members, turn).join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(pairs), links.unionByName(_verify(pairs, sets))
-        comps = settle(components(links))
-        members = settle(_labelled(members, comps))
-    y = members.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    rest = members.join(y, "key").where((F.col("rep") < F.col("y")) & (F.col("component") != F.col("cy")))
-    pairs = settle(_fitting(rest.select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")).join(tried, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        comps = settle(components(links.unionByName(_verify(pairs, sets))))
+    sets = settle(texts.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, shingles binary, wide binary"))
+
+    # the same members share a block in every bucket, and with it their stars
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    dealt = members.join(sets.select("rep", "wide"), "rep").select("key", block.alias("block"), "rep", "n", "wide")
+    told = settle(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_within, "a long, b long").distinct())
+    links = _verify(told, sets)
+    comps = components(links, links.count())
+    if not members.where(F.col("size") > BLOCK).isEmpty():
+        more = settle(_crossed(members, comps, sets).join(told, ["a", "b"], "left_anti"))
+        links = links.unionByName(_verify(more, sets))
+        comps = components(links, links.count())
 
     by_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
