@@ -269,15 +269,22 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs told by each block (key, block, rep, n, wide)."""
+    """Pairs told by each block (key, block, rep, n, wide, bands), each in the first bucket that it shares.
+
+    That loses no connection: what a star in a later bucket joins by a pair told
+    earlier was joined there.
+    """
     a, b = [], []
     for t in _runs(batches, 2):
-        if t.num_rows > 1:
-            rep = t.column("rep").to_numpy()
-            for x, y in _cluster(t.column("n").to_numpy(), _wide(t)):
-                if rep[x] != rep[y]:
-                    a.append(int(min(rep[x], rep[y])))
-                    b.append(int(max(rep[x], rep[y])))
+        if t.num_rows > 1 and (found := _cluster(t.column("n").to_numpy(), _wide(t))):
+            rep, key = t.column("rep").to_numpy(), t.column("key")[0].as_py()
+            bands_of = np.array(t.column("bands").to_pylist(), np.int64)
+            x, y = np.array(found).T
+            equal = bands_of[x] == bands_of[y]
+            first = bands_of[x, equal.argmax(1)] == key
+            x, y = rep[x[first]], rep[y[first]]
+            a += np.minimum(x, y)[x != y].tolist()
+            b += np.maximum(x, y)[x != y].tolist()
         if len(a) > 50_000:
             yield _pairs(a, b)
             a, b = [], []
@@ -330,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the same members share a block in every bucket, and with it their stars
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = members.join(sets.select("rep", "wide"), "rep").select("key", block.alias("block"), "rep", "n", "wide")
+    dealt = members.join(sets.select("rep", "wide"), "rep").join(classes.select("rep", "bands"), "rep").select("key", block.alias("block"), "rep", "n", "wide", "bands")
     told = settle(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_within, "a long, b long").distinct())
     links = _verify(told, sets)
     comps = components(links, links.count())
