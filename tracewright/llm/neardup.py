@@ -166,7 +166,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, off = K.utf8(b.column(1))
         each = [s for i, j in K.chunks(off) for s in _distinct(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i]))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in each], pa.binary()), pa.array([w.tobytes() for w in wide_bits(each)], pa.binary())], names=["rep", "shingles", "wide"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_key(s) for s in each], pa.binary()), pa.array([s.tobytes() for s in each], pa.binary()), pa.array([w.tobytes() for w in wide_bits(each)], pa.binary())], names=["rep", "set_key", "shingles", "wide"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,15 +329,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(ids, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = settle(texts.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     classes = settle(found.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("set_key", F.col("n_shingles").alias("n"), F.col("first.doc_id").alias("rep"), "first.bands"))
-    entries = classes.select("rep", "n", F.explode("bands").alias("key"))
+    entries = classes.select("set_key", "rep", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = settle(entries.join(shared, "key").select("rep", "n", "key", "size"))
+    members = settle(entries.join(shared, "key").select("set_key", "rep", "n", "key", "size"))
     involved = small(members.select(F.col("rep").alias("doc_id")).distinct(), broadcast_ids)
-    sets = settle(texts.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, shingles binary, wide binary"))
+    sets = settle(texts.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, set_key binary, shingles binary, wide binary"))
 
     # the same members share a block in every bucket, and with it their stars
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = members.join(sets.select("rep", "wide"), "rep").join(classes.select("rep", "bands"), "rep").select("key", block.alias("block"), "rep", "n", "wide", "bands")
+    # by the set itself: an id may stand for several
+    dealt = members.join(sets.select("set_key", "wide"), "set_key").join(classes.select("set_key", "bands"), "set_key").select("key", block.alias("block"), "rep", "n", "wide", "bands")
     told = settle(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_within, "a long, b long").distinct())
     links = _verify(told, sets)
     comps = components(links, links.count())
