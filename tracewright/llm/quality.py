@@ -8,10 +8,18 @@ character classes, and their histogram of common words of all languages, each
 only above a minimum length. A text is kept unless the base rule fails or a
 distance exceeds its limit.
 
+Limits follow the corpus, by language. Classes: the median distance of the texts
+that pass the base rule, plus CLASS_SPREADS robust deviations, at least
+CLASS_LEAST. Common words: WORD_SHARE of the distance that a text without any
+common word has; but where common words make up less than WORD_COMMON of the
+reference, so that a short text may well have none, WORD_LIMIT.
+
 References are means over all texts of a language that pass the base rule, in
 integer millionths, so that they do not depend on the order of rows. A language
 with fewer than MIN_DOCS such texts takes the mean of all texts. There are at
 most as many references as COMMON has languages, plus one for all others.
+Spreads come from counts of distances in thousandths, with the same exception
+for few texts, so they do not depend on the order of rows either.
 
 Defined cases: null and empty texts have no words and fail; a null or unknown
 language uses the common reference of such rows; every row is judged by itself,
@@ -20,6 +28,7 @@ whatever its id, and repeated rows agree. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +48,15 @@ COMMON = {
 }
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 MIN_DOCS = 50
-#: (least size, greatest distance): characters for the classes, words for the common words
-CLASS_GUARD, CLASS_LIMIT = 200, 0.30
-WORD_GUARD, WORD_LIMIT = 60, 0.45
+#: least size: characters for the classes, words for the common words
+CLASS_GUARD, WORD_GUARD = 200, 60
+CLASS_SPREADS, CLASS_LEAST = 12, 0.05
+WORD_SHARE, WORD_COMMON, WORD_LIMIT = 0.9, 0.1, 0.45
+#: distances are counted in steps of 1 / STEPS
+STEPS = 1000
 MARKS = b"#*$%&|<>"
 
+TOTALS = "lang string, at int, sum long"
 _NAMES = sorted({w for words in COMMON.values() for w in words})
 
 
@@ -179,22 +192,69 @@ def _references(rows: list[tuple[str, int, int]]) -> dict[str, tuple[np.ndarray,
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean shares of character classes and common words by language, over all documents."""
-    part = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_sums, "lang string, at int, sum long")
-    return _references([tuple(r) for r in part.groupBy("lang", "at").agg(F.sum("sum").alias("sum")).collect()])
+    return _references(_totals(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_sums, TOTALS)))
 
 
-def judge(m: dict[str, np.ndarray], lang: list[str], refs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """base_failed, kept, and the two distances (0 below the guard)."""
-    if not lang:
-        return np.zeros(0, bool), np.zeros(0, bool), np.zeros(0), np.zeros(0)
+def _distances(m: dict[str, np.ndarray], lang: list[str], refs: dict) -> list[np.ndarray]:
+    """Distances of the classes and of the common words, 0 below the guard."""
     names = sorted(refs)
-    at = np.array([names.index(x) for x in lang])
+    at = np.array([names.index(x) for x in lang], int)
     far = []
     for key, k, guard in (("classes", 0, CLASS_GUARD), ("common", 1, WORD_GUARD)):
         d = distance(_shares(m[key]), np.stack([refs[x][k] for x in names])[at])
         far.append(np.where(m[key].sum(1) >= guard, d, 0.0))
+    return far
+
+
+def _spread(parts: Iterator[tuple[dict[str, np.ndarray], list[str]]], refs: dict) -> Iterator[pa.RecordBatch]:
+    """Per language and step: the number of texts above the guard that pass the base rule with that class distance."""
+    total: Counter[tuple[str, int]] = Counter()
+    for m, lang in parts:
+        if lang:
+            step = np.rint(STEPS * _distances(m, lang, refs)[0]).astype(int)
+            seen = ~_base_failed(m) & (m["classes"].sum(1) >= CLASS_GUARD)
+            total.update((lang[i], int(step[i])) for i in np.flatnonzero(seen))
+    if total:
+        yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in total], "at": [k for _, k in total], "sum": list(total.values())}, pa.schema([("lang", pa.string()), ("at", pa.int32()), ("sum", pa.int64())]))
+
+
+def _median(values: np.ndarray, counts: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    return float(values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)])
+
+
+def limits(rows: list[tuple[str, int, int]], refs: dict) -> dict[str, tuple[float, float]]:
+    """Greatest distances of the classes and of the common words by language."""
+    counts: dict[str, np.ndarray] = {}
+    for lang, at, n in rows:
+        counts.setdefault(lang, np.zeros(STEPS + 1, np.int64))[at] = n
+    every = sum(counts.values(), np.zeros(STEPS + 1, np.int64))
+    steps = np.arange(STEPS + 1) / STEPS
+    out = {}
+    for lang, (_, common) in refs.items():
+        n = counts.get(lang, np.zeros(1, np.int64))
+        n = n if n.sum() >= MIN_DOCS else every
+        middle = _median(steps, n) if n.sum() else 0.0
+        spread = 1.4826 * _median(np.abs(steps - middle), n) if n.sum() else 0.0
+        none = np.zeros((1, N_WORD))
+        none[0, -1] = 1
+        word = WORD_SHARE * float(distance(none, common[None])[0]) if 1 - common[-1] >= WORD_COMMON else WORD_LIMIT
+        out[lang] = (middle + max(CLASS_SPREADS * spread, CLASS_LEAST), word)
+    return out
+
+
+def judge(m: dict[str, np.ndarray], lang: list[str], refs: dict, most: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, kept, and the two distances (0 below the guard)."""
+    if not lang:
+        return np.zeros(0, bool), np.zeros(0, bool), np.zeros(0), np.zeros(0)
+    far = _distances(m, lang, refs)
     failed = _base_failed(m)
-    return failed, ~failed & (far[0] <= CLASS_LIMIT) & (far[1] <= WORD_LIMIT), *far
+    limit = np.array([most[x] for x in lang])
+    return failed, ~failed & (far[0] <= limit[:, 0]) & (far[1] <= limit[:, 1]), *far
+
+
+def _totals(parts: DataFrame) -> list[tuple[str, int, int]]:
+    return [tuple(r) for r in parts.groupBy("lang", "at").agg(F.sum("sum").alias("sum")).collect()]
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -215,25 +275,34 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hist = np.frombuffer(b"".join(b.column(1 + len(base)).to_pylist()), np.int32).reshape(b.num_rows, N_CLASS + N_WORD)
         return m | {"classes": hist[:, :N_CLASS].astype(np.int64), "common": hist[:, N_CLASS:].astype(np.int64)}
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _spread(((unpacked(b), b.column(b.num_columns - 1).to_pylist()) for b in batches), refs)
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = unpacked(b)
-            failed, kept, far_class, far_word = judge(m, b.column(b.num_columns - 1).to_pylist(), refs)
+            failed, kept, far_class, far_word = judge(m, b.column(b.num_columns - 1).to_pylist(), refs, most)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in base), pa.array(failed), pa.array(kept), pa.array(far_class), pa.array(far_word)], names=["doc_id", *base, "base_failed", "kept", "class_distance", "word_distance"])
 
     longs = ", ".join(f"{k} long" for k in base)
     features = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(measured, f"doc_id long, {longs}, hist binary, lang string"))
-    refs = _references([tuple(r) for r in features.mapInArrow(sums, "lang string, at int, sum long").groupBy("lang", "at").agg(F.sum("sum").alias("sum")).collect()])
+    refs = _references(_totals(features.mapInArrow(sums, TOTALS)))
+    most = limits(_totals(features.mapInArrow(spread, TOTALS)), refs)
     return features.mapInArrow(judged, f"doc_id long, {longs}, base_failed boolean, kept boolean, class_distance double, word_distance double")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that pass, unchanged: one scan for the references, one to filter."""
+    """The rows that pass, unchanged: a scan for the references, one for the limits, one to filter."""
     refs = references(docs, text_col, lang_col)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _spread(((measure(b.column(0)), _language(b.column(1))) for b in batches), refs)
+
+    most = limits(_totals(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(spread, TOTALS)), refs)
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(judge(measure(b.column(text)), _language(b.column(lang)), refs)[1]))
+            yield b.filter(pa.array(judge(measure(b.column(text)), _language(b.column(lang)), refs, most)[1]))
 
     return docs.mapInArrow(keep, docs.schema)
