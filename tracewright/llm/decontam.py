@@ -1,23 +1,28 @@
-"""Benchmark decontamination with spaced seeds, in DataFrame operations only.
-
-Texts become lower-case tokens, cut at ASCII white space and punctuation. Each
-fixed mask spans SPAN token positions and reads only those marked 1, so a hit
-survives a substituted token at a 0. Hashes of all masked positions of the
-benchmark join those of the documents; hits fall on diagonals (document place
-minus item place), and each diagonal is verified: along the aligned tokens, a
-window of min(``window``, item length) tokens must agree in at least
-``similarity`` of them.
-
-Plan. The benchmark's seeds are broadcast after a count of them, else joined by
-a shuffle. Documents explode into (place, hash) without their text; hits reduce
-to one row per (document, item, diagonal) on the map side. Only documents with
-hits are tokenised again, matched by a broadcast of the counted hits, else by a
+"""Benchmark decontamination with lossless seeds, in DataFrame operations only.
+
+Texts become lower-case tokens, cut at ASCII white space and punctuation. A
+document leaks an item if, along aligned tokens (a diagonal: document place minus
+item place), a window of n = min(``window``, item length) tokens agrees in at
+least ``similarity`` of them.
+
+Seeds are runs of equal tokens, and miss no such window: m equal tokens and n - m
+others make at most n - m + 1 runs, of which the longest has m / (n - m + 1)
+tokens, rounded up. That is an item's seed width q (3 for the default rule),
+at most WIDEST. Each token that differs
+spoils at most q of the n - q + 1 seeds of a window, so a diagonal with fewer than
+n - q + 1 - q (n - m) hits is no candidate. Each candidate is verified in full.
+
+Plan. The widths that occur are collected (at most WIDEST numbers). The
+benchmark's seeds are broadcast after a count of them, else joined by a shuffle.
+Documents explode into (place, hash) without their text; hits reduce to one row
+per (document, item, diagonal) on the map side. Only documents with candidates
+are tokenised again, matched by a broadcast of the counted candidates, else by a
 join on the document id.
 
 Defined cases: null and empty texts have no tokens and no hits; items of fewer
-than SPAN tokens cannot hold a seed and match nothing; null ids match nothing;
-rows that repeat an id are judged each and reported once per id and item (the
-best window). Other columns are ignored; empty tables give an empty result.
+than LEAST_ITEM tokens match nothing; null ids match nothing; rows that repeat an id are judged each and
+reported once per id and item (the best window). Other columns are ignored; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .scratch import settle, small
 
-#: spaced seeds of weight 7 (fixed values)
-MASKS = ("11101001101", "10110010111")
-SPAN = 11
+#: tokens of the widest seed
+WIDEST = 8
+#: items of fewer tokens are left out
+LEAST_ITEM = 11
 WINDOW = 20
 SIMILARITY = 0.75
 #: benchmark seeds (about 24 bytes each) and hits that may be broadcast
@@ -42,35 +48,56 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _CUT), "")
 
 
-def _seeds(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Seed hashes; the mask of entry i is i mod the number of masks."""
-    n = F.size(words) - SPAN + 1
+def _hash(words: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(F.lit(width), *[F.get(words, i + j) for j in range(width)])
 
-    def at(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(k), *[F.get(words, i + j) for j, c in enumerate(m) if c == "1"]) for k, m in enumerate(masks)])
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
+def _runs(words: Column, widths: list[int]) -> Column:
+    """At each place where the least width fits: the hash of the width, or an array of those of all widths."""
+    places = F.sequence(F.lit(0), F.size(words) - widths[0])
+    return F.transform(places, lambda i: _hash(words, i, widths[0]) if len(widths) == 1 else F.array(*[_hash(words, i, k) for k in widths]))
 
 
-def _positions(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    cut = df.select(F.col(id_col).cast("long").alias(name), tokens(F.col(text_col)).alias("w"))
-    return cut.select(name, F.posexplode(_seeds(F.col("w")))).select(name, F.expr(f"pos div {len(MASKS)}").cast("int").alias(f"{name}_at"), F.col("col").alias("seed"))
+def _items(benchmark: DataFrame, window: int, similarity: float, item_col: str, item_text: str) -> DataFrame:
+    """item, tokens b, window n, seed width q and the least number of hits on a diagonal."""
+    cut = benchmark.select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("b")).where(F.col("item").isNotNull()).distinct()
+    cut = cut.where(F.size("b") >= LEAST_ITEM).withColumn("n", F.least(F.lit(window), F.size("b")))
+    cut = cut.withColumn("m", F.ceil(F.col("n") * F.lit(similarity)).cast("int"))
+    cut = cut.withColumn("q", F.least(F.lit(WIDEST), F.greatest(F.lit(1), F.ceil(F.col("m") / (F.col("n") - F.col("m") + 1)).cast("int"))))
+    return cut.withColumn("least", F.greatest(F.lit(1), F.expr("n - q + 1 - q * (n - m)"))).drop("m")
+
+
+def _item_seeds(items: DataFrame, widths: list[int]) -> DataFrame:
+    seeds = F.lit(None)
+    for k in widths:
+        seeds = F.when(F.col("q") == k, _runs(F.col("b"), [k])).otherwise(seeds)
+    return items.select("item", "least", F.posexplode(seeds).alias("item_at", "seed"))
+
+
+def _doc_seeds(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
+    """Seeds of all widths at each place; those that run over the end meet no item's."""
+    cut = docs.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col)).alias("w"))
+    runs = _runs(F.col("w"), widths)
+    found = cut.select("doc", F.posexplode(F.when(F.size("w") >= widths[0], F.flatten(runs) if len(widths) > 1 else runs)).alias("at", "seed"))
+    return found.select("doc", F.expr(f"at div {len(widths)}").cast("int").alias("doc_at"), "seed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """doc_id, item_id, n_window, n_equal: the best window of each contaminated (document, item)."""
-    seeds = small(_positions(benchmark, item_col, item_text, "item"), broadcast_seeds)
-    place = _positions(docs, id_col, text_col, "doc")
-    hits = place.join(seeds, "seed").select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    hits = small(hits.where(F.col("doc").isNotNull() & F.col("item").isNotNull()), broadcast_hits)
-    items = small(benchmark.select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("b")).distinct(), broadcast_hits)
+    known = settle(_items(benchmark, window, similarity, item_col, item_text))
+    widths = sorted(r[0] for r in known.select("q").distinct().collect()) or [1]
+    seeds = small(_item_seeds(known, widths), broadcast_seeds)
+    place = _doc_seeds(docs, widths, id_col, text_col)
+    hits = place.where(F.col("doc").isNotNull()).join(seeds, "seed").groupBy("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("met"), F.min("least").alias("least"))
+    hits = small(hits.where(F.col("met") >= F.col("least")).drop("met", "least"), broadcast_hits)
+    items = small(known.select("item", "b", F.col("n").alias("n_window")), broadcast_hits)
     words = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     # written: an expression over ``w`` would else cut the text again at every place it looks at
     met = settle(hits.join(items, "item").join(words, "doc").withColumn("w", tokens(F.col("text"))).drop("text"))
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     last = F.least(F.size("b"), F.size("w") - F.col("diagonal")) - 1
     equal = F.transform(F.sequence(first, last), lambda i: (F.get("b", i) == F.get("w", i + F.col("diagonal"))).cast("int"))
-    met = met.where(last >= first).withColumn("n_window", F.least(F.lit(window), F.size("b"))).withColumn("eq", equal).where(F.size("eq") >= F.col("n_window"))
+    met = met.where(last >= first).withColumn("eq", equal).where(F.size("eq") >= F.col("n_window"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("eq") - F.col("n_window") + 1), lambda i: F.aggregate(F.slice("eq", i, F.col("n_window")), F.lit(0), lambda a, x: a + x)))
     found = met.select("doc", "item", "n_window", best.alias("n_equal")).where(F.col("n_equal") >= F.ceil(F.col("n_window") * F.lit(similarity)))
     return found.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("n_window").cast("long").alias("n_window"), F.max("n_equal").cast("long").alias("n_equal"))
