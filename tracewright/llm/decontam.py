@@ -7,8 +7,8 @@ least ``similarity`` of them.
 
 Seeds are runs of equal tokens, and miss no such window: m equal tokens and n - m
 others make at most n - m + 1 runs, of which the longest has m / (n - m + 1)
-tokens, rounded up. That is an item's seed width q (3 for the default rule),
-at most WIDEST. Each token that differs
+tokens, rounded up. That is an item's seed width q (3 for the default rule and
+items of 9 tokens or more; 1 to 3 below), at most WIDEST. Each token that differs
 spoils at most q of the n - q + 1 seeds of a window, so a diagonal with fewer than
 n - q + 1 - q (n - m) hits is no candidate. Each candidate is verified in full.
 
@@ -20,7 +20,9 @@ are tokenised again, matched by a broadcast of the counted candidates, else by a
 join on the document id.
 
 Defined cases: null and empty texts have no tokens and no hits; items of fewer
-than LEAST_ITEM tokens match nothing; null ids match nothing; rows that repeat an id are judged each and
+than ``least_item`` tokens match nothing (the registered query and the pipeline
+take every item: least_item=1; an item of up to 3 tokens must then occur
+verbatim); null ids match nothing; rows that repeat an id are judged each and
 reported once per id and item (the best window). Other columns are ignored; empty
 tables give an empty result.
 """
@@ -34,7 +36,7 @@ from .scratch import settle, small
 
 #: tokens of the widest seed
 WIDEST = 8
-#: items of fewer tokens are left out
+#: items below are left out unless the caller says otherwise
 LEAST_ITEM = 11
 WINDOW = 20
 SIMILARITY = 0.75
@@ -58,10 +60,10 @@ def _runs(words: Column, widths: list[int]) -> Column:
     return F.transform(places, lambda i: _hash(words, i, widths[0]) if len(widths) == 1 else F.array(*[_hash(words, i, k) for k in widths]))
 
 
-def _items(benchmark: DataFrame, window: int, similarity: float, item_col: str, item_text: str) -> DataFrame:
+def _items(benchmark: DataFrame, window: int, similarity: float, least_item: int, item_col: str, item_text: str) -> DataFrame:
     """item, tokens b, window n, seed width q and the least number of hits on a diagonal."""
     cut = benchmark.select(F.col(item_col).cast("long").alias("item"), tokens(F.col(item_text)).alias("b")).where(F.col("item").isNotNull()).distinct()
-    cut = cut.where(F.size("b") >= LEAST_ITEM).withColumn("n", F.least(F.lit(window), F.size("b")))
+    cut = cut.where(F.size("b") >= max(least_item, 1)).withColumn("n", F.least(F.lit(window), F.size("b")))
     cut = cut.withColumn("m", F.ceil(F.col("n") * F.lit(similarity)).cast("int"))
     cut = cut.withColumn("q", F.least(F.lit(WIDEST), F.greatest(F.lit(1), F.ceil(F.col("m") / (F.col("n") - F.col("m") + 1)).cast("int"))))
     return cut.withColumn("least", F.greatest(F.lit(1), F.expr("n - q + 1 - q * (n - m)"))).drop("m")
@@ -82,9 +84,9 @@ def _doc_seeds(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -
     return found.select("doc", F.expr(f"at div {len(widths)}").cast("int").alias("doc_at"), "seed")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS, least_item: int = LEAST_ITEM) -> DataFrame:
     """doc_id, item_id, n_window, n_equal: the best window of each contaminated (document, item)."""
-    known = settle(_items(benchmark, window, similarity, item_col, item_text))
+    known = settle(_items(benchmark, window, similarity, least_item, item_col, item_text))
     widths = sorted(r[0] for r in known.select("q").distinct().collect()) or [1]
     seeds = small(_item_seeds(known, widths), broadcast_seeds)
     place = _doc_seeds(docs, widths, id_col, text_col)
