@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as K
@@ -257,48 +257,53 @@ def _totals(parts: DataFrame) -> list[tuple[str, int, int]]:
     return [tuple(r) for r in parts.groupBy("lang", "at").agg(F.sum("sum").alias("sum")).collect()]
 
 
-def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts, distances and verdict of every row."""
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+LONGS = ", ".join(f"{k} long" for k in BASE)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = measure(b.column(1))
-            hist = np.hstack((m["classes"], m["common"])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in base), pa.array([r.tobytes() for r in hist], pa.binary()), pa.array(_language(b.column(2)))], names=["doc_id", *base, "hist", "lang"])
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _summed((unpacked(b), b.column(b.num_columns - 1).to_pylist()) for b in batches)
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        m = measure(b.column(1))
+        hist = np.hstack((m["classes"], m["common"])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in BASE), pa.array([r.tobytes() for r in hist], pa.binary()), pa.array(_language(b.column(2)))], names=["doc_id", *BASE, "hist", "lang"])
+
 
-    def unpacked(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-        m = {k: b.column(1 + i).to_numpy() for i, k in enumerate(base)}
-        hist = np.frombuffer(b"".join(b.column(1 + len(base)).to_pylist()), np.int32).reshape(b.num_rows, N_CLASS + N_WORD)
-        return m | {"classes": hist[:, :N_CLASS].astype(np.int64), "common": hist[:, N_CLASS:].astype(np.int64)}
+def _unpacked(b: pa.RecordBatch) -> tuple[dict[str, np.ndarray], list[str]]:
+    m = {k: b.column(1 + i).to_numpy() for i, k in enumerate(BASE)}
+    hist = np.frombuffer(b"".join(b.column(1 + len(BASE)).to_pylist()), np.int32).reshape(b.num_rows, N_CLASS + N_WORD)
+    return m | {"classes": hist[:, :N_CLASS].astype(np.int64), "common": hist[:, N_CLASS:].astype(np.int64)}, b.column(b.num_columns - 1).to_pylist()
+
+
+def _fitted(docs: DataFrame, doc_id: Column, text_col: str, lang_col: str) -> tuple[DataFrame, dict, dict]:
+    """The counts of every row, written; the references and the limits."""
+    features = settle(docs.select(doc_id.cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_measured, f"doc_id long, {LONGS}, hist binary, lang string"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(map(_unpacked, batches))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _spread(((unpacked(b), b.column(b.num_columns - 1).to_pylist()) for b in batches), refs)
+        yield from _spread(map(_unpacked, batches), refs)
+
+    refs = _references(_totals(features.mapInArrow(sums, TOTALS)))
+    return features, refs, limits(_totals(features.mapInArrow(spread, TOTALS)), refs)
+
+
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Counts, distances and verdict of every row."""
+    features, refs, most = _fitted(docs, F.col(id_col), text_col, lang_col)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = unpacked(b)
-            failed, kept, far_class, far_word = judge(m, b.column(b.num_columns - 1).to_pylist(), refs, most)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in base), pa.array(failed), pa.array(kept), pa.array(far_class), pa.array(far_word)], names=["doc_id", *base, "base_failed", "kept", "class_distance", "word_distance"])
+            m, lang = _unpacked(b)
+            failed, kept, far_class, far_word = judge(m, lang, refs, most)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in BASE), pa.array(failed), pa.array(kept), pa.array(far_class), pa.array(far_word)], names=["doc_id", *BASE, "base_failed", "kept", "class_distance", "word_distance"])
 
-    longs = ", ".join(f"{k} long" for k in base)
-    features = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(measured, f"doc_id long, {longs}, hist binary, lang string"))
-    refs = _references(_totals(features.mapInArrow(sums, TOTALS)))
-    most = limits(_totals(features.mapInArrow(spread, TOTALS)), refs)
-    return features.mapInArrow(judged, f"doc_id long, {longs}, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return features.mapInArrow(judged, f"doc_id long, {LONGS}, base_failed boolean, kept boolean, class_distance double, word_distance double")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that pass, unchanged: a scan for the references, one for the limits, one to filter."""
-    refs = references(docs, text_col, lang_col)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _spread(((measure(b.column(0)), _language(b.column(1))) for b in batches), refs)
-
-    most = limits(_totals(docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(spread, TOTALS)), refs)
+    """The rows that pass, unchanged: one scan for references and limits, one to filter."""
+    _, refs, most = _fitted(docs, F.lit(None), text_col, lang_col)
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
