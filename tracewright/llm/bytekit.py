@@ -1,9 +1,13 @@
 """NumPy kernels over Arrow text buffers, shared by the text operators.
 
 A *chunk* is a run of whole documents laid end to end in one ``uint8`` buffer.
-Kernels never look across a document boundary. Hashes are 64-bit: a byte (or
-word) sequence ``x0 x1 ...`` maps to ``sum(T[xk] * R**k) mod 2**64`` followed by
-a finaliser, and every window hash comes from one prefix sum.
+Kernels never look across a document boundary.
+
+Words are told apart exactly, by Arrow's dictionary; each distinct word has the
+64-bit XXH3 of its bytes, and a window of words the hash of its two parts, mixed
+without a linear form (``joined``). Byte spans have polynomial hashes modulo the
+prime 2**61 - 1 (``Spans``). Neither has the structure by which sums modulo 2**64
+give equal hashes to different regular strings.
 """
 
 from __future__ import annotations
@@ -12,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: bytes of text handled at once; temporaries are about 40 times this
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_PRIME = (1 << 61) - 1
+_RADIX = 0x1B873593CC9E2D51 % _PRIME
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,27 +39,81 @@ def _random(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U) * U(0xBF58476D1CE4E5B9)) ^ U(seed))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of what ``a`` stands for followed by what ``b`` stands for."""
+    x = a * U(0x9FB21C651E98DF25)
+    x ^= x >> U(29)
+    x += b
+    return mix(x)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2**61 - 1."""
+    p = U(_PRIME)
+    x = (x & p) + (x >> U(61))
+    return np.where(x >= p, x - p, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below it."""
+    low, half = U((1 << 31) - 1), U((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << U(1)) + (middle >> U(30)) + ((middle & half) << U(31)) + a0 * b0)
+
+
 class _Powers:
-    """R**i and R**-i mod 2**64, grown on demand."""
+    """Powers of the radix and of its inverse modulo 2**61 - 1, grown on demand."""
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+    def __init__(self) -> None:
         self.up = self.down = np.ones(1, U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                a = np.full(n, b & _MASK, U)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=U))
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate((self.up, product(self.up, U(pow(_RADIX, k, _PRIME)))))
+            self.down = np.concatenate((self.down, product(self.down, U(pow(_RADIX, -k, _PRIME)))))
         return self.up, self.down
 
 
-_POW = _Powers(_BASE)
-BYTES = _random(256, 0x51ED270B)
-LOWER = BYTES.copy()
-LOWER[65:91] = BYTES[97:123]
+_POW = _Powers()
+
+
+class Spans:
+    """Hashes of byte spans of a buffer of under 16 MiB: sums of (byte + 1) * radix**place modulo 2**61 - 1."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        if n >= 1 << 24:
+            raise ValueError("the buffer is too long")
+        up, self.down = _POW.upto(n + 1)
+        # in two halves of the powers, whose sums stay below 2**64 without reduction
+        self.low, self.high = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        digit = buf.astype(U) + U(1)
+        np.cumsum(digit * (up[:n] & U((1 << 31) - 1)), out=self.low[1:])
+        np.cumsum(digit * (up[:n] >> U(31)), out=self.high[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the spans [start, end)."""
+        high = self.high[ends] - self.high[starts]
+        x = _reduced(self.low[ends] - self.low[starts]) + (high >> U(30)) + ((high & U((1 << 30) - 1)) << U(31))
+        return mix(product(_reduced(x), self.down[starts]))
+
+
+def grams(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes (8 to 16) from each byte on, those that fit; to choose places by, not to compare."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    eight = np.empty(len(buf) - 7, U)
+    for k in range(8):
+        m = len(eight[k::8])
+        eight[k::8] = buf[k : k + 8 * m].view("<u8")
+    return joined(eight[:n], eight[width - 8 :])
+
+
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -83,10 +142,18 @@ def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def coded(buf: np.ndarray, solid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Codes and values of the strings of these sizes that the bytes marked ``solid`` make up, in order."""
+    flat, ends = buf[solid], np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+    return made.indices.to_numpy(), made.dictionary.to_pylist()
+
+
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, documents, hashes."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, documents, codes by value, hashes."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, table: np.ndarray | None = BYTES):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
         n = len(buf)
         space = SPACE[buf]
         before, after = np.ones(n, bool), np.ones(n, bool)
@@ -100,45 +167,34 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(off) - 1), self.counts)
         self.pos = np.arange(len(self.starts)) - self.first[self.doc]
-        self.space = space
-        self.hash = spans(prefix(buf, table), self.starts, self.ends) if table is not None else None
+        self.code, self.values = coded(LOWERED[buf] if lower else buf, solid, self.ends - self.starts)
+        self.hash = np.array([xxhash.xxh3_64_intdigest(v) for v in self.values], U)[self.code] if len(self.code) else np.zeros(0, U)
 
     def windows(self, w: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``w`` words from each word on, and whether they lie in one document."""
-        h, n = self.hash, len(self.hash)
+        n = len(self.hash)
         whole = self.pos + w <= self.counts[self.doc]
         out = np.zeros(n, U)
         if n >= w:
-            up, down = _POW.upto(n + 1)
-            c = np.zeros(n + 1, U)
-            np.cumsum(h * up[:n], out=c[1:])
-            out[: n - w + 1] = mix((c[w:] - c[:-w]) * down[: n - w + 1])
+            out[: n - w + 1] = self._joined(w)[: n - w + 1]
         return out, whole
 
-
-def prefix(buf: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
-    n = len(buf)
-    up, _ = _POW.upto(n + 1)
-    c = np.zeros(n + 1, U)
-    v = table[buf]
-    v *= up[:n]
-    np.cumsum(v, out=c[1:])
-    return c
-
-
-def spans(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end) under the prefix sums ``c``."""
-    _, down = _POW.upto(len(c))
-    return mix((c[ends] - c[starts]) * down[starts])
-
-
-def rolling(c: np.ndarray, w: int) -> np.ndarray:
-    """Hash of the ``w`` bytes from each byte on (those that fit)."""
-    n = len(c) - 1
-    if n < w:
-        return np.zeros(0, U)
-    _, down = _POW.upto(len(c))
-    return mix((c[w:] - c[:-w]) * down[: n - w + 1])
+    def _joined(self, w: int) -> np.ndarray:
+        """Each window as its binary digits' parts, longest first; part by part twice as long as the last."""
+        part, size, made, done = self.hash, 1, None, 0
+        parts = []
+        while True:
+            if w & size:
+                parts.append((size, part))
+            size *= 2
+            if size > w:
+                break
+            part = joined(part[: len(part) - size // 2], part[size // 2 :])
+        for size, part in reversed(parts):
+            tail = part[done:]
+            made = part if made is None else joined(made[: len(tail)], tail[: len(made)])
+            done += size
+        return made
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

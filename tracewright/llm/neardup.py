@@ -63,7 +63,7 @@ BROADCAST_IDS = 500_000
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a chunk, and the offsets of each document's."""
-    w = K.Words(buf, off, K.LOWER)
+    w = K.Words(buf, off, lower=True)
     h, whole = w.windows(size)
     n = np.maximum(w.counts - size + 1, 0)
     few = np.flatnonzero((w.counts > 0) & (w.counts < size))

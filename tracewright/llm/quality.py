@@ -75,15 +75,7 @@ _CLASS = _classes()
 N_CLASS, N_WORD = 7, len(_NAMES) + 1
 
 
-def _name_hashes() -> tuple[np.ndarray, np.ndarray]:
-    raw = [n.encode() for n in _NAMES]
-    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-    h = K.spans(K.prefix(buf, K.LOWER), off[:-1], off[1:])
-    order = np.argsort(h)
-    return h[order], order
-
-
-_HASHES, _ORDER = _name_hashes()
+_AT = {n.encode(): k for k, n in enumerate(_NAMES)}
 
 
 def measure(column: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
@@ -108,13 +100,8 @@ def _measure(buf: np.ndarray, off: np.ndarray, out: dict[str, np.ndarray]) -> No
         out["classes"][d] = np.bincount(kind[off[d] : off[d + 1]], minlength=8)[:N_CLASS]
     w = K.Words(buf, off)
     out["n_words"][:] = w.counts
-    salt = np.arange(n, dtype=K.U) * K.U(0xA24BAED4963EE407)
     # words in windows that the text has twice
-    h, whole = w.windows(REPEAT_WINDOW)
-    at = np.flatnonzero(whole)
-    own = h[at] + salt[w.doc[at]]
-    _, again = K.distinct(own)
-    at = at[K.within(own, again)]
+    at = _repeated(w)
     edge = np.zeros(len(w.starts) + REPEAT_WINDOW + 1, np.int32)
     edge[at] += 1
     np.add.at(edge, at + REPEAT_WINDOW, -1)
@@ -128,18 +115,32 @@ def _measure(buf: np.ndarray, off: np.ndarray, out: dict[str, np.ndarray]) -> No
     doc = np.searchsorted(off, starts, "right") - 1
     ends = ends - (buf[ends - 1] == 10)
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
-    lines = K.spans(K.prefix(buf), starts[has], ends[has]) + salt[doc[has]]
+    code, _ = K.coded(buf, buf != 10, ends - starts)
+    lines = doc[has] * (int(code.max(initial=0)) + 1) + code[has]
     order = np.argsort(lines, kind="stable")
     same = np.flatnonzero(lines[order][1:] == lines[order][:-1]) + 1
     out["n_dup_lines"][:] = np.bincount(doc[has][order][same], minlength=n)
     # common words
-    low = K.spans(K.prefix(buf, K.LOWER), w.starts, w.ends)
-    k = np.searchsorted(_HASHES, low)
-    k[k == len(_HASHES)] = 0
-    name = np.where(_HASHES[k] == low, _ORDER[k], N_WORD - 1)
+    name = np.array([_AT.get(v.lower(), N_WORD - 1) for v in w.values], np.int64)[w.code] if len(w.code) else w.doc
     out["common"][:] = np.bincount(w.doc * N_WORD + name, minlength=n * N_WORD).reshape(n, N_WORD)
 
 
+def _repeated(w: K.Words) -> np.ndarray:
+    """Starts of windows whose words the same text has in another window: met by hash, then compared word by word."""
+    h, whole = w.windows(REPEAT_WINDOW)
+    at = np.flatnonzero(whole)
+    key = K.joined(h[at], w.doc[at].astype(K.U))
+    mine = K.within(key, K.distinct(key)[1])
+    at, key = at[mine], key[mine]
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    rows = np.column_stack((w.doc[at], *(w.code[at + k] for k in range(REPEAT_WINDOW))))
+    if len(at) and (rows[1:] != rows[:-1])[key[1:] == key[:-1]].any():  # a hash stands for several windows
+        _, group, often = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        at = at[often[group.reshape(-1)] > 1]
+    return np.sort(at)
+
+
 def _base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])
 

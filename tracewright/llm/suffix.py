@@ -11,22 +11,28 @@ share theirs. The suffixes at these places are the ones indexed; each stands for
 a run of starts and carries its *context*, the bytes all strings of the run cover.
 
 1. each home (a batch of documents) tells buckets the hash of the bytes that
-   every string of a sampled suffix contains, and hears which are repeated;
-2. it sends the contexts of those, distinct within the home, to their bucket;
+   every string of a sampled suffix contains, its *core*, with the number of
+   contexts it has for it, and hears which cores are repeated;
+2. it sends the contexts of those, distinct within the home, to the core's bucket;
 3. a bucket keeps an index family: every new batch of contexts is sorted into a
    pair of suffix arrays (bytes from the sampled place on, and bytes before it,
-   backwards) and merge-scanned for strings of full length that both sides hold;
-   levels of equal size merge, and in the end all;
+   backwards) and merge-scanned against each existing level for strings of full
+   length that both hold; then levels of equal size merge, which needs no scan;
 4. homes hear which starts of each context are repeated, and cut.
 
-Bytes are compared as such in the family; hashes of 64 bits only route and
-find equal contexts of one home.
+Skew. Inside a passage that a third of all documents share, contexts are equal;
+at its edges they differ from document to document though they share a core. The
+contexts of a core that has more than HOT of them in all homes are therefore
+*trimmed* first: homes tell the hashes of their single strings, distinct within
+the home, and hear which of them others hold. What is left of a context are the
+stretches of strings that are held elsewhere by the same homes (in groups of
+PEERS, each of at least two holders); such a piece goes, as bytes, to the bucket
+that its group of holders names, and into the family there. So an edge that only
+one document has never reaches a bucket, and a passage that all homes hold meets
+PEERS to 2 PEERS copies of itself in each of many buckets.
 
-Skew. A passage common to a third of all documents has equal contexts inside,
-sent once a home. At its edges contexts differ from document to document though
-they share a hash; hashes that more than HOT homes hold are therefore told one by
-one, as hashes of single strings, distinct within the home and dealt by
-themselves: those cannot gather in a bucket unless equal.
+Every string is decided in a family, by its bytes. Hashes (modulo 2**61 - 1)
+route, choose what is worth sending, and find equal contexts within one home.
 
 Defined cases: a null text is empty; a null id is kept (null ids are dealt as
 one id); rows that repeat an id are documents of their own, so copies remove
@@ -41,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,15 +58,26 @@ from . import homes as H
 
 LENGTH = 400
 SPREAD, GRAM = 128, 16
+#: contexts of a core, over all homes, that go to one bucket as they are
 HOT = 24
+#: homes whose copies of a trimmed context meet in a bucket (up to twice as many)
+PEERS = 64
 #: contexts that make a batch of the index family
-BATCH = 16_384
+BATCH = 512
 STEP = 1 << 20
 _PLACE = 24  # bits of a packed place
 
-TALK = "bucket int, home int, kind int, hashes binary, flags binary, lefts binary, sizes binary, packed binary"
+CORES = "bucket int, home int, hashes binary, counts binary"
+TALK = "bucket int, home int, kind int, hashes binary, flags binary, cores binary, lefts binary, sizes binary, packed binary"
 HEAR = "home int, kind int, hashes binary, bits binary"
-_CONTEXT, _STRING, _HOT = 0, 1, 2
+_CONTEXT, _STRING, _PIECE, _HOT = 0, 1, 2, 3
+_TALK = pa.schema([(c, pa.int32()) for c in ("bucket", "home", "kind")] + [(c, pa.binary()) for c in ("hashes", "flags", "cores", "lefts", "sizes", "packed")])
+_HEAR = pa.schema([("home", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("bits", pa.binary())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema)
 
 
 def _ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +109,8 @@ class Runs:
 
     def __init__(self, lo: int, buf: np.ndarray, valid: np.ndarray, length: int, spread: int, gram: int):
         self.lo, self.buf, self.length = lo, buf, length
-        self.c = K.prefix(buf)
-        h = K.rolling(self.c, gram)
+        self.spans = K.Spans(buf)
+        h = K.grams(buf, gram)
         key = (h >> K.U(_PLACE) << K.U(_PLACE)) | np.arange(len(h), dtype=K.U)
         at = np.flatnonzero(valid)
         place = (_least(key, spread)[at] & K.U((1 << _PLACE) - 1)).astype(np.int64) if len(at) else at
@@ -102,17 +120,28 @@ class Runs:
         self.place, self.first = place[head], at[head]
         self.last = at[np.append(head[1:], len(at)) - 1] if len(head) else at
         #: hash of the bytes that every string of the run holds from the sampled place on
-        self.core = K.spans(self.c, self.place, self.place + length - spread + 1)
+        self.core = self.spans.of(self.place, self.place + length - spread + 1)
 
-    def keys(self) -> np.ndarray:
-        """Hash of each context with the place in it."""
-        return K.mix(K.spans(self.c, self.first, self.last + self.length) ^ K.mix(((self.place - self.first) << 32 | (self.last - self.first)).astype(K.U)))
+    def keys(self, place: np.ndarray | None = None, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each context, that of a whole run unless stretches are given, with the place in it."""
+        place, first, last = (self.place, self.first, self.last) if place is None else (place, first, last)
+        return K.mix(self.spans.of(first, last + self.length) ^ K.mix(((place - first) << 32 | (last - first)).astype(K.U)))
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the strings of some runs, and their hashes."""
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the strings of some runs, their hashes, and the run of each."""
         n = self.last[which] - self.first[which] + 1
         starts = np.repeat(self.first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return starts, K.spans(self.c, starts, starts + self.length)
+        return starts, self.spans.of(starts, starts + self.length), np.repeat(which, n)
+
+    def pieces(self, hot: np.ndarray, strings: np.ndarray, routes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Run, first and last start, and route of the stretches of told strings of a route in runs with a hot core."""
+        starts, h, run = self.strings(np.flatnonzero(K.within(self.core, hot)))
+        known = np.flatnonzero(K.within(h, strings))
+        starts, run, route = starts[known], run[known], routes[np.searchsorted(strings, h[known])]
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] != starts[:-1] + 1) | (run[1:] != run[:-1]) | (route[1:] != route[:-1])
+        head = np.flatnonzero(new)
+        return run[head], starts[head], starts[np.append(head[1:], len(starts)) - 1] if len(head) else starts, route[head]
 
 
 def _runs(buf: np.ndarray, off: np.ndarray, length: int, spread: int, gram: int) -> Iterator[Runs]:
@@ -128,32 +157,58 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int, spread: int, gram: int)
 def _tell_cores(length: int, spread: int, gram: int, buckets: int):
     def tell(key, t):
         _, buf, off = _ordered(t)
-        cores = [r.core for r in _runs(buf, off, length, spread, gram)]
-        found, again = K.distinct(np.concatenate(cores) if cores else np.zeros(0, K.U))
-        return X.say(key[0].as_py(), buckets, found, K.within(found, again))
+        runs = [(r.core, r.keys()) for r in _runs(buf, off, length, spread, gram)]
+        core, context = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, K.U), np.zeros(0, K.U))
+        order = np.lexsort((context, core))
+        core, context = core[order], context[order]
+        new = np.ones(len(core), bool)
+        new[1:] = (core[1:] != core[:-1]) | (context[1:] != context[:-1])
+        core = core[new]
+        first = np.ones(len(core), bool)
+        first[1:] = core[1:] != core[:-1]
+        at = np.flatnonzero(first)
+        core, n = core[at], np.minimum(np.diff(np.append(at, len(core))), 255).astype(np.uint8)
+        cut = K.cuts(core, buckets)
+        rows = [(b, key[0].as_py(), K.blob(core[i:j]), K.blob(n[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+        return _table(rows, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     return tell
 
 
 def _repeated(hot: int):
     def answer(t):
-        """Per home its repeated hashes: those that at most ``hot`` homes hold, and the others."""
-        homes, blobs, own = X.heard(t)
-        every = np.sort(np.concatenate(blobs))
+        """Per home its cores with several contexts: those with at most ``hot`` in all homes, and the others."""
+        homes = t.column("home").to_pylist()
+        blobs, counts = ([np.frombuffer(b, kind) for b in t.column(c).to_pylist()] for c, kind in (("hashes", K.U), ("counts", np.uint8)))
+        every, n = np.concatenate(blobs), np.concatenate(counts)
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], n[order].astype(np.int64)
         new = np.ones(len(every), bool)
         new[1:] = every[1:] != every[:-1]
         at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(every)))
-        again, common = every[at[n > 1]], every[at[n > hot]]
-        out = []
-        for h, b, f in zip(homes, blobs, own, strict=True):
-            much = K.within(b, common)
-            out.append((h, b[(K.within(b, again) | f) & ~much], b[much]))
-        return X.reply(out)
+        total = np.add.reduceat(n, at)
+        some, many = every[at[(total > 1) & (total <= hot)]], every[at[(total > 1) & (total > hot)]]
+        return X.reply([(h, b[K.within(b, some)], b[K.within(b, many)]) for h, b in zip(homes, blobs, strict=True)])
 
     return answer
 
 
+def _cells(home: int, kind: int, buckets: int, route: np.ndarray, key: np.ndarray, core: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> list[tuple]:
+    """One cell a bucket: contexts, distinct within the home, with what the family needs."""
+    order = np.lexsort((key, route))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (route[order][1:] != route[order][:-1])
+    order = order[new]  # one of each context: the home itself sees the others
+    cut, zip_ = K.cuts(route[order], buckets), zstandard.ZstdCompressor(level=1)
+    rows = []
+    for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+        if j > i:
+            pick = order[i:j]
+            parts = [contexts[k] for k in pick]
+            rows.append((b, home, kind, K.blob(key[pick]), b"", K.blob(core[pick]), K.blob(left[pick].astype(np.int16)), K.blob(np.array([len(p) for p in parts], np.int16)), zip_.compress(b"".join(parts))))
+    return rows
+
+
 def _tell_contexts(length: int, spread: int, gram: int, buckets: int):
     def tell(key, t, told):
         home = key[0].as_py()
@@ -169,24 +224,42 @@ def _tell_contexts(length: int, spread: int, gram: int, buckets: int):
             strings.append(r.strings(np.flatnonzero(K.within(r.core, hot)))[1])
         rows = []
         if contexts:
-            core, context_key, left = np.concatenate(cores), np.concatenate(keys), np.concatenate(lefts)
-            order = np.lexsort((context_key, core))
-            new = np.ones(len(order), bool)
-            new[1:] = context_key[order][1:] != context_key[order][:-1]
-            order = order[new]  # one of each context: the home itself sees the others
-            cut = K.cuts(core[order], buckets)
-            zip_ = zstandard.ZstdCompressor(level=1)
-            for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
-                if j > i:
-                    pick = order[i:j]
-                    parts = [contexts[k] for k in pick]
-                    rows.append((b, home, _CONTEXT, K.blob(context_key[pick]), b"", K.blob(left[pick].astype(np.int16)), K.blob(np.array([len(p) for p in parts], np.int16)), zip_.compress(b"".join(parts))))
+            core = np.concatenate(cores)
+            rows = _cells(home, _CONTEXT, buckets, core, np.concatenate(keys), core, np.concatenate(lefts), contexts)
         if strings:
             found, again = K.distinct(np.concatenate(strings))
             said = X.say(home, buckets, found, K.within(found, again))
-            rows += [(b, home, _STRING, h, f, b"", b"", b"") for b, h, f in zip(said.column("bucket").to_pylist(), said.column("hashes").to_pylist(), said.column("flags").to_pylist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-        return pa.table([pa.array(c, pa.int32() if k < 3 else pa.binary()) for k, c in enumerate(cols)], names=["bucket", "home", "kind", "hashes", "flags", "lefts", "sizes", "packed"])
+            rows += [(b, home, _STRING, h, f, b"", b"", b"", b"") for b, h, f in zip(*(said.column(c).to_pylist() for c in ("bucket", "hashes", "flags")), strict=True)]
+        return _table(rows, _TALK)
+
+    return tell
+
+
+def _trimmed(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that the home was told are held elsewhere, sorted, and the route of each."""
+    mine = told.filter(pc.equal(told.column("kind"), _STRING))
+    strings, routes = K.unblob(mine.column("hashes")), K.unblob(mine.column("bits"))
+    order = np.argsort(strings)
+    return strings[order], routes[order]
+
+
+def _tell_pieces(length: int, spread: int, gram: int, buckets: int):
+    def tell(key, t, told):
+        strings, routes = _trimmed(told)
+        hot = np.sort(K.unblob(told.filter(pc.equal(told.column("kind"), _HOT)).column("hashes")))
+        rows = []
+        if len(strings):
+            cores, keys, lefts, contexts, roads = [], [], [], [], []
+            _, buf, off = _ordered(t)
+            for r in _runs(buf, off, length, spread, gram):
+                run, first, last, route = r.pieces(hot, strings, routes)
+                cores.append(r.core[run])
+                keys.append(r.keys(r.place[run], first, last))
+                lefts.append(r.place[run] - first)
+                roads.append(route)
+                contexts += [r.buf[a:b].tobytes() for a, b in zip(first, last + length, strict=True)]
+            rows = _cells(key[0].as_py(), _PIECE, buckets, *map(np.concatenate, (roads, keys, cores, lefts)), contexts)
+        return _table(rows, _TALK)
 
     return tell
 
@@ -194,20 +267,19 @@ def _tell_contexts(length: int, spread: int, gram: int, buckets: int):
 class Level:
     """Contexts with the two suffix arrays over their sampled places, and which of their strings are repeated."""
 
-    def __init__(self, contexts: list[bytes], left: np.ndarray, marks: np.ndarray, length: int, forward: list[int] | None = None, backward: list[int] | None = None):
-        self.contexts, self.left, self.marks, self.length = contexts, left, marks, length
-        self.right_bytes = [c[k:] for c, k in zip(contexts, left, strict=True)]
-        self.left_bytes = [c[:k][::-1] for c, k in zip(contexts, left, strict=True)]
+    def __init__(self, contexts: list[bytes], left: np.ndarray, marks: np.ndarray, length: int, core: np.ndarray, forward: list[int] | None = None, backward: list[int] | None = None):
+        self.contexts, self.left, self.marks, self.length, self.core = contexts, left, marks, length, core
         # timsort merges the runs that sorted levels bring along in linear time
-        self.forward = np.array(sorted(forward or range(len(contexts)), key=self.right_bytes.__getitem__), np.int64)
-        self.backward = np.array(sorted(backward or range(len(contexts)), key=self.left_bytes.__getitem__), np.int64)
+        self.forward = np.array(sorted(forward or range(len(contexts)), key=lambda i: contexts[i][left[i] :]), np.int64)
+        self.backward = np.array(sorted(backward or range(len(contexts)), key=lambda i: contexts[i][: left[i]][::-1]), np.int64)
 
     def scan(self) -> Level:
-        """Mark every full-length string that two contexts hold."""
+        """Mark every full-length string that two contexts of the level hold."""
         n, length, spread = len(self.contexts), self.length, self.marks.shape[1]
         if n < 2:
             return self
-        right, left = _common(self.right_bytes, self.forward), _common(self.left_bytes, self.backward)
+        right = _common([c[k:] for c, k in zip(self.contexts, self.left, strict=True)], self.forward)
+        left = _common([c[:k][::-1] for c, k in zip(self.contexts, self.left, strict=True)], self.backward)
         size = np.array([len(c) for c in self.contexts])
         least, most = np.maximum(0, length - (size - self.left)), self.left  # offsets of the place in the run's strings
         near = np.zeros(n, bool)
@@ -224,6 +296,12 @@ class Level:
             self.marks[who, o] |= K.within(group, K.distinct(group)[1])
         return self
 
+    def part(self, core: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+        """Contexts with one of the sorted cores (no others can share a string), and their order in both arrays."""
+        mine = K.within(self.core, core)
+        at = np.cumsum(mine) - 1
+        return np.flatnonzero(mine), at[self.forward[mine[self.forward]]].tolist(), at[self.backward[mine[self.backward]]].tolist()
+
 
 def _common(strings: list[bytes], order: np.ndarray, step: int = 4096) -> np.ndarray:
     """Length of the common prefix of each string with the next in order."""
@@ -241,24 +319,40 @@ def _common(strings: list[bytes], order: np.ndarray, step: int = 4096) -> np.nda
 
 
 class IndexFamily:
-    """Levels of about BATCH, 2 BATCH, 4 BATCH ... contexts; each is scanned against those it merges with."""
+    """Levels of about BATCH, 2 BATCH, 4 BATCH ... contexts; each batch is scanned against all that came before."""
 
     def __init__(self, length: int, spread: int):
         self.length, self.spread = length, spread
         self.levels: list[Level | None] = []
 
-    def add(self, contexts: list[bytes], left: np.ndarray, marks: np.ndarray) -> None:
-        level, k = Level(contexts, left, marks, self.length).scan(), 0
+    def add(self, contexts: list[bytes], left: np.ndarray, marks: np.ndarray, core: np.ndarray | None = None) -> None:
+        level = Level(contexts, left, marks, self.length, np.zeros(len(contexts), K.U) if core is None else core).scan()
+        for old in self.levels:
+            if old is not None:
+                self.merge_scan(old, level)
+        k = 0
         while k < len(self.levels) and self.levels[k] is not None:
             level, self.levels[k], k = self.merged(self.levels[k], level), None, k + 1
         self.levels[k:] = [level, *self.levels[k + 1 :]]
 
+    def merge_scan(self, a: Level, b: Level) -> None:
+        """Mark the strings that a context of one level and one of the other hold."""
+        both = K.distinct(b.core)[0]
+        both = both[K.within(both, K.distinct(a.core)[0])]
+        if len(both):
+            (p, p_forward, p_backward), (q, q_forward, q_backward) = a.part(both), b.part(both)
+            joint = self._joint([a.contexts[i] for i in p] + [b.contexts[i] for i in q], [a.left[p], b.left[q]], [a.marks[p], b.marks[q]], [a.core[p], b.core[q]], p_forward, q_forward, p_backward, q_backward, len(p)).scan()
+            a.marks[p], b.marks[q] = joint.marks[: len(p)], joint.marks[len(p) :]
+
+    def _joint(self, contexts, left, marks, core, a_forward, b_forward, a_backward, b_backward, n: int) -> Level:
+        return Level(contexts, np.concatenate(left), np.concatenate(marks), self.length, np.concatenate(core), [*a_forward, *(i + n for i in b_forward)], [*a_backward, *(i + n for i in b_backward)])
+
     def merged(self, a: Level, b: Level) -> Level:
-        n = len(a.contexts)
-        return Level(a.contexts + b.contexts, np.concatenate((a.left, b.left)), np.concatenate((a.marks, b.marks)), self.length, [*a.forward, *(b.forward + n)], [*a.backward, *(b.backward + n)]).scan()
+        """Both levels as one, their arrays merged; what they share is marked already."""
+        return self._joint(a.contexts + b.contexts, [a.left, b.left], [a.marks, b.marks], [a.core, b.core], a.forward, b.forward, a.backward, b.backward, len(a.contexts))
 
     def close(self) -> Level | None:
-        """All levels as one; contexts stand in the order in which levels hold them."""
+        """All levels as one."""
         whole = None
         for level in self.levels:
             if level is not None:
@@ -266,7 +360,8 @@ class IndexFamily:
         return whole
 
 
-def _answer_contexts(t: pa.Table, length: int, spread: int, batch: int) -> list[tuple[int, int, bytes, bytes]]:
+def _answer_contexts(t: pa.Table, kind: int, length: int, spread: int, batch: int) -> list[tuple[int, int, bytes, bytes]]:
+    """To each home: the keys of its contexts that others share strings with, and a bit for each string."""
     unzip = zstandard.ZstdDecompressor()
     at: dict[tuple[bytes, int], int] = {}
     holders: list[list[tuple[int, int]]] = []  # of each distinct context: (home, its hash there)
@@ -274,18 +369,19 @@ def _answer_contexts(t: pa.Table, length: int, spread: int, batch: int) -> list[
 
     def flush() -> None:
         if fresh:
-            family.add([c for c, _ in fresh], np.array([k for _, k in fresh], np.int64), np.zeros((len(fresh), spread), bool))
+            family.add([c for c, _, _ in fresh], np.array([k for _, k, _ in fresh], np.int64), np.zeros((len(fresh), spread), bool), np.array([x for *_, x in fresh], K.U))
             fresh.clear()
 
-    for home, hashes, lefts, sizes, packed in zip(*(t.column(c).to_pylist() for c in ("home", "hashes", "lefts", "sizes", "packed")), strict=True):
+    for home, hashes, cores, lefts, sizes, packed in zip(*(t.column(c) for c in ("home", "hashes", "cores", "lefts", "sizes", "packed")), strict=True):
+        home, hashes, cores, lefts, sizes, packed = (v.as_py() for v in (home, hashes, cores, lefts, sizes, packed))
         sizes = np.frombuffer(sizes, np.int16).astype(np.int64)
         flat, end = unzip.decompress(packed, max_output_size=int(sizes.sum())), np.cumsum(sizes)
-        for key, left, i, j in zip(np.frombuffer(hashes, K.U).tolist(), np.frombuffer(lefts, np.int16).tolist(), end - sizes, end, strict=True):
+        for key, core, left, i, j in zip(np.frombuffer(hashes, K.U).tolist(), np.frombuffer(cores, K.U).tolist(), np.frombuffer(lefts, np.int16).tolist(), (end - sizes).tolist(), end.tolist(), strict=True):
             entry = (flat[i:j], left)
             k = at.setdefault(entry, len(holders))
             if k == len(holders):
                 holders.append([])
-                fresh.append(entry)
+                fresh.append((*entry, core))
                 if len(fresh) >= batch:
                     flush()
             holders[k].append((home, key))
@@ -300,22 +396,39 @@ def _answer_contexts(t: pa.Table, length: int, spread: int, batch: int) -> list[
         if len(mine) > 1 or marked:
             for home, key in mine:
                 told.setdefault(home, []).append((key, full if len(mine) > 1 else bits.tobytes()))
-    return [(home, _CONTEXT, K.blob(np.array([k for k, _ in rows], K.U)), b"".join(b for _, b in rows)) for home, rows in told.items()]
-
-
-def _answer(length: int, spread: int, batch: int):
+    return [(home, kind, K.blob(np.array([k for k, _ in rows], K.U)), b"".join(b for _, b in rows)) for home, rows in told.items()]
+
+
+def _answer_strings(t: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
+    """To each home: its strings that others hold or it holds twice, and the route of each, shared with its group of holders."""
+    homes, blobs, own = X.heard(t)
+    h, flag = np.concatenate(blobs), np.concatenate(own)
+    home = np.repeat(np.array(homes, np.int64), [len(b) for b in blobs])
+    order = np.lexsort((home, h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(h)))
+    group, rank = np.repeat(np.arange(len(at)), n), np.arange(len(h)) - np.repeat(at, n)
+    who = np.bitwise_xor.reduceat(K.mix(home[order].astype(K.U) + K.U(1)), at)
+    peers = np.minimum(rank // PEERS, np.maximum(n[group] // PEERS - 1, 0))
+    route, wanted = np.empty(len(h), K.U), np.empty(len(h), bool)
+    route[order] = K.joined(who[group], peers.astype(K.U))
+    wanted[order] = (n > 1)[group]
+    wanted |= flag
+    ends = np.cumsum([len(b) for b in blobs])
+    cut = [(x, np.flatnonzero(wanted[j - len(b) : j]) + j - len(b)) for x, b, j in zip(homes, blobs, ends, strict=True)]
+    return [(x, _STRING, K.blob(h[mine]), K.blob(route[mine])) for x, mine in cut if len(mine)]
+
+
+def _answer(length: int, spread: int, batch: int, kinds: tuple[int, ...] = (_CONTEXT, _STRING, _PIECE)):
     def answer(t):
-        kind = np.array(t.column("kind").to_pylist())
-        rows = _answer_contexts(t.filter(pa.array(kind == _CONTEXT)), length, spread, batch) if (kind == _CONTEXT).any() else []
-        if (kind == _STRING).any():
-            homes, blobs, own = X.heard(t.filter(pa.array(kind == _STRING)))
-            _, again = K.distinct(np.concatenate(blobs))
-            for h, b, f in zip(homes, blobs, own, strict=True):
-                found = b[K.within(b, again) | f]
-                if len(found):
-                    rows.append((h, _STRING, K.blob(found), b""))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.table([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=["home", "kind", "hashes", "bits"])
+        rows = []
+        for kind in kinds:
+            mine = t.filter(pc.equal(t.column("kind"), kind))
+            if mine.num_rows:
+                rows += _answer_strings(mine) if kind == _STRING else _answer_contexts(mine, kind, length, spread, batch)
+        return _table(rows, _HEAR)
 
     return answer
 
@@ -323,37 +436,45 @@ def _answer(length: int, spread: int, batch: int):
 def _cut(length: int, spread: int, gram: int, shape):
     def cut(key, t, told):
         ids, buf, off = _ordered(t)
-        kind = np.array(told.column("kind").to_pylist(), int)
-        part = lambda k, c, dtype=K.U: K.unblob([v for v, x in zip(told.column(c).to_pylist(), kind, strict=True) if x == k], dtype)
-        keys, strings, hot = part(_CONTEXT, "hashes"), np.sort(part(_STRING, "hashes")), np.sort(part(_HOT, "hashes"))
-        bits = part(_CONTEXT, "bits", np.uint8).reshape(len(keys), -(-spread // 8))
-        order = np.argsort(keys, kind="stable")
-        keys, bits = keys[order], bits[order]
         edge = np.zeros(len(buf) + length + 1, np.int32)
-        runs = []
 
-        def mark(starts: np.ndarray) -> None:
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + length, -1)
+        def verdicts(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            mine = told.filter(pc.equal(told.column("kind"), kind))
+            keys = K.unblob(mine.column("hashes"))
+            bits = K.unblob(mine.column("bits"), np.uint8).reshape(len(keys), -(-spread // 8))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], bits[order]
 
-        for r in _runs(buf, off, length, spread, gram):
-            mine = r.keys()
-            runs.append((mine, r.first + r.lo, r.last + r.lo))
+        def mark(first: np.ndarray, last: np.ndarray) -> None:
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + length, -1)
+
+        def judge(lo: int, mine: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> None:
             known = np.flatnonzero(K.within(mine, keys))
             if len(known):
                 offsets = np.unpackbits(bits[np.searchsorted(keys, mine[known])], axis=1, count=spread).astype(bool)
                 run, o = np.nonzero(offsets)
-                starts = r.place[known][run] - o
-                fits = (starts >= r.first[known][run]) & (starts <= r.last[known][run])
-                mark(starts[fits] + r.lo)
-            if len(hot):
-                starts, h = r.strings(np.flatnonzero(K.within(r.core, hot)))
-                mark(starts[K.within(h, strings)] + r.lo)
-        if runs:  # contexts that the home itself has twice: all of their strings are repeated
-            every, first, last = (np.concatenate(x) for x in zip(*runs, strict=True))
+                starts = place[known][run] - o
+                fits = (starts >= first[known][run]) & (starts <= last[known][run])
+                mark(starts[fits] + lo, starts[fits] + lo)
+
+        hot = np.sort(K.unblob(told.filter(pc.equal(told.column("kind"), _HOT)).column("hashes")))
+        strings, routes = _trimmed(told)
+        runs, pieces = verdicts(_CONTEXT), verdicts(_PIECE)
+        seen: list[list[tuple]] = [[], []]
+        for r in _runs(buf, off, length, spread, gram):
+            mine = r.keys()
+            judge(r.lo, mine, r.place, r.first, r.last, *runs)
+            seen[0].append((mine, r.first + r.lo, r.last + r.lo))
+            if len(strings):
+                run, first, last, _ = r.pieces(hot, strings, routes)
+                mine = r.keys(r.place[run], first, last)
+                judge(r.lo, mine, r.place[run], first, last, *pieces)
+                seen[1].append((mine, first + r.lo, last + r.lo))
+        for some in filter(None, seen):  # contexts that the home itself has twice: all of their strings are repeated
+            every, first, last = (np.concatenate(x) for x in zip(*some, strict=True))
             twice = np.flatnonzero(K.within(every, K.distinct(every)[1]))
-            np.add.at(edge, first[twice], 1)
-            np.add.at(edge, last[twice] + length, -1)
+            mark(first[twice], last[twice])
         gone = np.cumsum(edge)[: len(buf)] > 0
         rows = []
         for k, doc in enumerate(ids):
@@ -381,13 +502,17 @@ def _bytes(rows: list) -> pa.Table:
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, hot: int = HOT, batch: int = BATCH, spread: int = SPREAD, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes that stay: ``kept`` (binary), or with ``digest`` its ``kept_sha256``."""
-    if length - spread + 1 < gram or spread % 8 or length + spread > 32_000:
-        raise ValueError("length must exceed spread by gram - 1, and spread must be a multiple of 8")
+    if length - spread + 1 < gram or not 8 <= gram <= 16 or spread % 8 or length + spread > 32_000:
+        raise ValueError("length must exceed spread by gram - 1, spread must be a multiple of 8, and gram 8 to 16")
     homes, buckets = H.counts(docs.sparkSession, docs)
     home = H.housed(docs, id_col, text_col, homes)
-    cores = home.groupBy("home").applyInArrow(_tell_cores(length, spread, gram, buckets), X.HASHES).groupBy("bucket").applyInArrow(_repeated(hot), X.REPLY)
-    said = home.groupBy("home").cogroup(cores.groupBy("home")).applyInArrow(_tell_contexts(length, spread, gram, buckets), TALK)
-    told = said.groupBy("bucket").applyInArrow(_answer(length, spread, batch), HEAR)
+    sampling = (length, spread, gram)
+    cores = home.groupBy("home").applyInArrow(_tell_cores(*sampling, buckets), CORES).groupBy("bucket").applyInArrow(_repeated(hot), X.REPLY)
+    said = home.groupBy("home").cogroup(cores.groupBy("home")).applyInArrow(_tell_contexts(*sampling, buckets), TALK)
     much = cores.where(F.length("multi") > 0).select("home", F.lit(_HOT).alias("kind"), F.col("multi").alias("hashes"), F.lit(b"").alias("bits"))
-    out = home.groupBy("home").cogroup(told.unionByName(much).groupBy("home")).applyInArrow(_cut(length, spread, gram, _digest if digest else _bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+    heard = lambda said, *kinds: said.groupBy("bucket").applyInArrow(_answer(length, spread, batch, kinds), HEAR)
+    # strings are answered twice, from the same exchange, so that pieces need not wait for the contexts' family
+    pieces = home.groupBy("home").cogroup(heard(said, _STRING).unionByName(much).groupBy("home")).applyInArrow(_tell_pieces(*sampling, buckets), TALK)
+    told = heard(said, _CONTEXT, _STRING).unionByName(heard(pieces, _PIECE)).unionByName(much)
+    out = home.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(_cut(*sampling, _digest if digest else _bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
     return out.withColumn("doc_id", H.named(out["doc_id"]))
