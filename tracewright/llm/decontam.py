@@ -14,10 +14,11 @@ n - q + 1 - q (n - m) hits is no candidate. Each candidate is verified in full.
 
 Plan. The widths that occur are collected (at most WIDEST numbers). The
 benchmark's seeds are broadcast after a count of them, else joined by a shuffle.
-Documents explode into (place, hash) without their text; hits reduce to one row
-per (document, item, diagonal) on the map side. Only documents with candidates
-are tokenised again, matched by a broadcast of the counted candidates, else by a
-join on the document id.
+Documents explode into (place, hash) without their text, in generated code; hits
+reduce to one row per (document, item, diagonal) on the map side. Only documents
+with candidates are tokenised again. Their texts are not moved while the hits are
+few enough to be broadcast (counted) and so are the items (their bytes summed);
+beyond that they are joined by a shuffle.
 
 Defined cases: null and empty texts have no tokens and no hits; items of fewer
 than ``least_item`` tokens match nothing (the registered query and the pipeline
@@ -43,6 +44,8 @@ SIMILARITY = 0.75
 #: benchmark seeds (about 24 bytes each) and hits that may be broadcast
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_HITS = 200_000
+#: the items' tokens may be broadcast if they take at most as many bytes as that many hits
+HIT_BYTES = 160
 _CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -54,10 +57,8 @@ def _hash(words: Column, i: Column, width: int) -> Column:
     return F.xxhash64(F.lit(width), *[F.get(words, i + j) for j in range(width)])
 
 
-def _runs(words: Column, widths: list[int]) -> Column:
-    """At each place where the least width fits: the hash of the width, or an array of those of all widths."""
-    places = F.sequence(F.lit(0), F.size(words) - widths[0])
-    return F.transform(places, lambda i: _hash(words, i, widths[0]) if len(widths) == 1 else F.array(*[_hash(words, i, k) for k in widths]))
+def _runs(words: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: _hash(words, i, width))
 
 
 def _items(benchmark: DataFrame, window: int, similarity: float, least_item: int, item_col: str, item_text: str) -> DataFrame:
@@ -72,16 +73,18 @@ def _items(benchmark: DataFrame, window: int, similarity: float, least_item: int
 def _item_seeds(items: DataFrame, widths: list[int]) -> DataFrame:
     seeds = F.lit(None)
     for k in widths:
-        seeds = F.when(F.col("q") == k, _runs(F.col("b"), [k])).otherwise(seeds)
+        seeds = F.when(F.col("q") == k, _runs(F.col("b"), k)).otherwise(seeds)
     return items.select("item", "least", F.posexplode(seeds).alias("item_at", "seed"))
 
 
 def _doc_seeds(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
-    """Seeds of all widths at each place; those that run over the end meet no item's."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col)).alias("w"))
-    runs = _runs(F.col("w"), widths)
-    found = cut.select("doc", F.posexplode(F.when(F.size("w") >= widths[0], F.flatten(runs) if len(widths) > 1 else runs)).alias("at", "seed"))
-    return found.select("doc", F.expr(f"at div {len(widths)}").cast("int").alias("doc_at"), "seed")
+    """Seeds of all widths at each place where they fit; tokens are laid beside their successors, so that no lambda runs over them."""
+    cut = docs.select(F.col(id_col).cast("long").alias("doc"), tokens(F.col(text_col)).alias("w")).where(F.col("doc").isNotNull())
+    beside = F.arrays_zip(*[(F.slice("w", k + 1, F.size("w")) if k else F.col("w")).alias(f"t{k}") for k in range(max(widths))])
+    places = cut.select("doc", F.posexplode(beside).alias("doc_at", "t"))
+    seeds = [F.when(F.col(f"t.t{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"t.t{j}") for j in range(k)])) for k in widths]
+    found = places.select("doc", "doc_at", seeds[0].alias("seed") if len(seeds) == 1 else F.explode(F.array(*seeds)).alias("seed"))
+    return found.where(F.col("seed").isNotNull())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS, least_item: int = LEAST_ITEM) -> DataFrame:
@@ -90,12 +93,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     widths = sorted(r[0] for r in known.select("q").distinct().collect()) or [1]
     seeds = small(_item_seeds(known, widths), broadcast_seeds)
     place = _doc_seeds(docs, widths, id_col, text_col)
-    hits = place.where(F.col("doc").isNotNull()).join(seeds, "seed").groupBy("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("met"), F.min("least").alias("least"))
+    hits = place.join(seeds, "seed").groupBy("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("met"), F.min("least").alias("least"))
     hits = small(hits.where(F.col("met") >= F.col("least")).drop("met", "least"), broadcast_hits)
-    items = small(known.select("item", "b", F.col("n").alias("n_window")), broadcast_hits)
+    items = small(known.select("item", "b", F.col("n").alias("n_window")), broadcast_hits * HIT_BYTES, 48 + F.length(F.array_join("b", " ")) + 32 * F.size("b"))
     words = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    # texts stay where they are read: hits, then items, come to them
     # written: an expression over ``w`` would else cut the text again at every place it looks at
-    met = settle(hits.join(items, "item").join(words, "doc").withColumn("w", tokens(F.col("text"))).drop("text"))
+    met = settle(words.join(hits, "doc").join(items, "item").withColumn("w", tokens(F.col("text"))).drop("text"))
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     last = F.least(F.size("b"), F.size("w") - F.col("diagonal")) - 1
     equal = F.transform(F.sequence(first, last), lambda i: (F.get("b", i) == F.get("w", i + F.col("diagonal"))).cast("int"))

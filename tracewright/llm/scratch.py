@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
@@ -34,10 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` written, with a broadcast hint if it turns out to have at most ``rows`` rows."""
+def small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """``df`` written, with a broadcast hint if it turns out to have at most ``most`` rows, or rows of that weight together."""
     df = settle(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    size = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def clear() -> None:
