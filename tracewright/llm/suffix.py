@@ -18,7 +18,7 @@ a run of starts and carries its *context*, the bytes all strings of the run cove
    pair of suffix arrays (bytes from the sampled place on, and bytes before it,
    backwards) and merge-scanned against each existing level for strings of full
    length that both hold; then levels of equal size merge, which needs no scan;
-4. homes hear which starts of each context are repeated, and cut.
+4. homes hear, by place, which starts of each context are repeated, and cut.
 
 Skew. Inside a passage that a third of all documents share, contexts are equal;
 at its edges they differ from document to document though they share a core. The
@@ -59,20 +59,19 @@ from . import homes as H
 LENGTH = 400
 SPREAD, GRAM = 128, 16
 #: contexts of a core, over all homes, that go to one bucket as they are
-HOT = 24
+HOT = 512
 #: homes whose copies of a trimmed context meet in a bucket (up to twice as many)
 PEERS = 64
 #: contexts that make a batch of the index family
-BATCH = 512
+BATCH = 1024
 STEP = 1 << 20
 _PLACE = 24  # bits of a packed place
 
-CORES = "bucket int, home int, hashes binary, counts binary"
-TALK = "bucket int, home int, kind int, hashes binary, flags binary, cores binary, lefts binary, sizes binary, packed binary"
-HEAR = "home int, kind int, hashes binary, bits binary"
-_CONTEXT, _STRING, _PIECE, _HOT = 0, 1, 2, 3
-_TALK = pa.schema([(c, pa.int32()) for c in ("bucket", "home", "kind")] + [(c, pa.binary()) for c in ("hashes", "flags", "cores", "lefts", "sizes", "packed")])
-_HEAR = pa.schema([("home", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("bits", pa.binary())])
+CORES = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+TALK = pa.schema([(c, pa.int32()) for c in ("bucket", "home", "kind")] + [(c, pa.binary()) for c in ("hashes", "flags", "lefts", "sizes", "times", "spots", "packed")])
+STRINGS = pa.schema([("home", pa.int32()), ("hashes", pa.binary()), ("routes", pa.binary()), ("hot", pa.binary())])
+HEAR = pa.schema([("home", pa.int32()), ("spots", pa.binary()), ("bits", pa.binary())])
+_CONTEXT, _STRING = 0, 1
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -161,16 +160,15 @@ def _tell_cores(length: int, spread: int, gram: int, buckets: int):
         core, context = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, K.U), np.zeros(0, K.U))
         order = np.lexsort((context, core))
         core, context = core[order], context[order]
-        new = np.ones(len(core), bool)
-        new[1:] = (core[1:] != core[:-1]) | (context[1:] != context[:-1])
-        core = core[new]
-        first = np.ones(len(core), bool)
-        first[1:] = core[1:] != core[:-1]
-        at = np.flatnonzero(first)
-        core, n = core[at], np.minimum(np.diff(np.append(at, len(core))), 255).astype(np.uint8)
+        head, first = np.ones(len(core), bool), np.ones(len(core), bool)
+        head[1:] = core[1:] != core[:-1]
+        first[1:] = head[1:] | (context[1:] != context[:-1])
+        at = np.flatnonzero(head)
+        # contexts, and one more if the home has one of them twice
+        n = np.add.reduceat(first, at, dtype=np.int64) + ~np.logical_and.reduceat(first, at) if len(at) else at
+        core, n = core[at], np.minimum(n, 255).astype(np.uint8)
         cut = K.cuts(core, buckets)
-        rows = [(b, key[0].as_py(), K.blob(core[i:j]), K.blob(n[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-        return _table(rows, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+        return _table([(b, key[0].as_py(), K.blob(core[i:j]), K.blob(n[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i], CORES)
 
     return tell
 
@@ -193,19 +191,21 @@ def _repeated(hot: int):
     return answer
 
 
-def _cells(home: int, kind: int, buckets: int, route: np.ndarray, key: np.ndarray, core: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> list[tuple]:
-    """One cell a bucket: contexts, distinct within the home, with what the family needs."""
-    order = np.lexsort((key, route))
+def _cells(home: int, buckets: int, route: np.ndarray, key: np.ndarray, core: np.ndarray, left: np.ndarray, spots: np.ndarray, contexts: list[bytes]) -> list[tuple]:
+    """One cell a bucket: contexts, distinct within the home, and all places where they start."""
+    order = np.lexsort((spots, key, route))
     new = np.ones(len(order), bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (route[order][1:] != route[order][:-1])
-    order = order[new]  # one of each context: the home itself sees the others
-    cut, zip_ = K.cuts(route[order], buckets), zstandard.ZstdCompressor(level=1)
+    at = np.append(np.flatnonzero(new), len(order))
+    heads, times = order[at[:-1]], np.diff(at)
+    cut, zip_ = K.cuts(route[heads], buckets), zstandard.ZstdCompressor(level=1)
     rows = []
     for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
         if j > i:
-            pick = order[i:j]
+            pick = heads[i:j]
             parts = [contexts[k] for k in pick]
-            rows.append((b, home, kind, K.blob(key[pick]), b"", K.blob(core[pick]), K.blob(left[pick].astype(np.int16)), K.blob(np.array([len(p) for p in parts], np.int16)), zip_.compress(b"".join(parts))))
+            numbers = (left[pick].astype(np.int16), np.array([len(p) for p in parts], np.int16), times[i:j].astype(np.int32), spots[order[at[i] : at[j]]].astype(np.int64))
+            rows.append((b, home, _CONTEXT, K.blob(core[pick]), b"", *map(K.blob, numbers), zip_.compress(b"".join(parts))))
     return rows
 
 
@@ -213,53 +213,42 @@ def _tell_contexts(length: int, spread: int, gram: int, buckets: int):
     def tell(key, t, told):
         home = key[0].as_py()
         cold, hot = np.sort(K.unblob(told.column("lost"))), np.sort(K.unblob(told.column("multi")))
-        cores, keys, lefts, contexts, strings = [], [], [], [], []
+        found, contexts, strings = [], [], []
         _, buf, off = _ordered(t)
         for r in _runs(buf, off, length, spread, gram) if len(cold) + len(hot) else ():
             mine = np.flatnonzero(K.within(r.core, cold))
-            cores.append(r.core[mine])
-            keys.append(r.keys()[mine])
-            lefts.append((r.place - r.first)[mine])
-            contexts += [r.buf[a:b].tobytes() for a, b in zip(r.first[mine], r.last[mine] + length, strict=True)]
+            first, last = r.first[mine], r.last[mine]
+            found.append((r.core[mine], r.keys()[mine], r.place[mine] - first, first + r.lo))
+            contexts += [r.buf[a:b].tobytes() for a, b in zip(first, last + length, strict=True)]
             strings.append(r.strings(np.flatnonzero(K.within(r.core, hot)))[1])
         rows = []
         if contexts:
-            core = np.concatenate(cores)
-            rows = _cells(home, _CONTEXT, buckets, core, np.concatenate(keys), core, np.concatenate(lefts), contexts)
+            core, keys, left, spots = map(np.concatenate, zip(*found, strict=True))
+            rows = _cells(home, buckets, core, keys, core, left, spots, contexts)
         if strings:
-            found, again = K.distinct(np.concatenate(strings))
-            said = X.say(home, buckets, found, K.within(found, again))
-            rows += [(b, home, _STRING, h, f, b"", b"", b"", b"") for b, h, f in zip(*(said.column(c).to_pylist() for c in ("bucket", "hashes", "flags")), strict=True)]
-        return _table(rows, _TALK)
+            every, again = K.distinct(np.concatenate(strings))
+            said = X.say(home, buckets, every, K.within(every, again))
+            rows += [(b, home, _STRING, h, f, b"", b"", b"", b"", b"") for b, h, f in zip(*(said.column(c).to_pylist() for c in ("bucket", "hashes", "flags")), strict=True)]
+        return _table(rows, TALK)
 
     return tell
 
 
-def _trimmed(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The strings that the home was told are held elsewhere, sorted, and the route of each."""
-    mine = told.filter(pc.equal(told.column("kind"), _STRING))
-    strings, routes = K.unblob(mine.column("hashes")), K.unblob(mine.column("bits"))
-    order = np.argsort(strings)
-    return strings[order], routes[order]
-
-
 def _tell_pieces(length: int, spread: int, gram: int, buckets: int):
     def tell(key, t, told):
-        strings, routes = _trimmed(told)
-        hot = np.sort(K.unblob(told.filter(pc.equal(told.column("kind"), _HOT)).column("hashes")))
+        strings, routes, hot = (K.unblob(told.column(c)) for c in ("hashes", "routes", "hot"))
+        order, hot = np.argsort(strings), np.sort(hot)
+        strings, routes = strings[order], routes[order]
         rows = []
         if len(strings):
-            cores, keys, lefts, contexts, roads = [], [], [], [], []
+            found, contexts = [], []
             _, buf, off = _ordered(t)
             for r in _runs(buf, off, length, spread, gram):
                 run, first, last, route = r.pieces(hot, strings, routes)
-                cores.append(r.core[run])
-                keys.append(r.keys(r.place[run], first, last))
-                lefts.append(r.place[run] - first)
-                roads.append(route)
+                found.append((route, r.keys(r.place[run], first, last), r.core[run], r.place[run] - first, first + r.lo))
                 contexts += [r.buf[a:b].tobytes() for a, b in zip(first, last + length, strict=True)]
-            rows = _cells(key[0].as_py(), _PIECE, buckets, *map(np.concatenate, (roads, keys, cores, lefts)), contexts)
-        return _table(rows, _TALK)
+            rows = _cells(key[0].as_py(), buckets, *map(np.concatenate, zip(*found, strict=True)), contexts)
+        return _table(rows, TALK)
 
     return tell
 
@@ -360,49 +349,55 @@ class IndexFamily:
         return whole
 
 
-def _answer_contexts(t: pa.Table, kind: int, length: int, spread: int, batch: int) -> list[tuple[int, int, bytes, bytes]]:
-    """To each home: the keys of its contexts that others share strings with, and a bit for each string."""
-    unzip = zstandard.ZstdDecompressor()
-    at: dict[tuple[bytes, int], int] = {}
-    holders: list[list[tuple[int, int]]] = []  # of each distinct context: (home, its hash there)
-    family, fresh = IndexFamily(length, spread), []
-
-    def flush() -> None:
-        if fresh:
-            family.add([c for c, _, _ in fresh], np.array([k for _, k, _ in fresh], np.int64), np.zeros((len(fresh), spread), bool), np.array([x for *_, x in fresh], K.U))
-            fresh.clear()
-
-    for home, hashes, cores, lefts, sizes, packed in zip(*(t.column(c) for c in ("home", "hashes", "cores", "lefts", "sizes", "packed")), strict=True):
-        home, hashes, cores, lefts, sizes, packed = (v.as_py() for v in (home, hashes, cores, lefts, sizes, packed))
-        sizes = np.frombuffer(sizes, np.int16).astype(np.int64)
-        flat, end = unzip.decompress(packed, max_output_size=int(sizes.sum())), np.cumsum(sizes)
-        for key, core, left, i, j in zip(np.frombuffer(hashes, K.U).tolist(), np.frombuffer(cores, K.U).tolist(), np.frombuffer(lefts, np.int16).tolist(), (end - sizes).tolist(), end.tolist(), strict=True):
-            entry = (flat[i:j], left)
-            k = at.setdefault(entry, len(holders))
-            if k == len(holders):
-                holders.append([])
-                fresh.append((*entry, core))
-                if len(fresh) >= batch:
-                    flush()
-            holders[k].append((home, key))
-    flush()
-    whole = family.close()
-    if whole is None:
-        return []
-    told: dict[int, list[tuple[int, bytes]]] = {}
-    full = np.packbits(np.ones(spread, bool)).tobytes()
-    for context, left, bits, marked in zip(whole.contexts, whole.left.tolist(), np.packbits(whole.marks, axis=1), whole.marks.any(1), strict=True):
-        mine = holders[at[context, left]]
-        if len(mine) > 1 or marked:
-            for home, key in mine:
-                told.setdefault(home, []).append((key, full if len(mine) > 1 else bits.tobytes()))
-    return [(home, kind, K.blob(np.array([k for k, _ in rows], K.U)), b"".join(b for _, b in rows)) for home, rows in told.items()]
-
-
-def _answer_strings(t: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
+def _family(length: int, spread: int, batch: int):
+    def decide(t: pa.Table) -> pa.Table:
+        """To each home: where its contexts start that others, or it again, share strings with, and a bit for each string."""
+        t = t.filter(pc.equal(t.column("kind"), _CONTEXT))
+        unzip = zstandard.ZstdDecompressor()
+        at: dict[tuple[bytes, int], int] = {}
+        holders: list[list[tuple[int, np.ndarray]]] = []  # of each distinct context: homes, and its places there
+        family, fresh = IndexFamily(length, spread), []
+
+        def flush() -> None:
+            if fresh:
+                family.add([c for c, _, _ in fresh], np.array([k for _, k, _ in fresh], np.int64), np.zeros((len(fresh), spread), bool), np.array([x for *_, x in fresh], K.U))
+                fresh.clear()
+
+        for cell in zip(*(t.column(c) for c in ("home", "hashes", "lefts", "sizes", "times", "spots", "packed")), strict=True):
+            home, cores, lefts, sizes, times, spots, packed = (v.as_py() for v in cell)
+            sizes, times, spots = np.frombuffer(sizes, np.int16).astype(np.int64), np.frombuffer(times, np.int32), np.frombuffer(spots, np.int64)
+            flat, end, last = unzip.decompress(packed, max_output_size=int(sizes.sum())), np.cumsum(sizes), np.cumsum(times)
+            for core, left, i, j, p, q in zip(np.frombuffer(cores, K.U).tolist(), np.frombuffer(lefts, np.int16).tolist(), (end - sizes).tolist(), end.tolist(), (last - times).tolist(), last.tolist(), strict=True):
+                entry = (flat[i:j], left)
+                k = at.setdefault(entry, len(holders))
+                if k == len(holders):
+                    holders.append([])
+                    fresh.append((*entry, core))
+                    if len(fresh) >= batch:
+                        flush()
+                holders[k].append((home, spots[p:q]))
+        flush()
+        whole, told = family.close(), {}
+        if whole is not None:
+            for context, left, marks in zip(whole.contexts, whole.left.tolist(), whole.marks, strict=True):
+                mine, n, starts = holders[at[context, left]], len(context) - length + 1, np.zeros(spread, bool)
+                starts[:n] = True if sum(len(p) for _, p in mine) > 1 else marks[left - n + 1 : left + 1][::-1]
+                if starts.any():
+                    bits = np.packbits(starts).tobytes()
+                    for home, places in mine:
+                        told.setdefault(home, []).append((places, bits * len(places)))
+        return _table([(home, K.blob(np.concatenate([p for p, _ in rows])), b"".join(b for _, b in rows)) for home, rows in told.items()], HEAR)
+
+    return decide
+
+
+def _answer_strings(t: pa.Table) -> pa.Table:
     """To each home: its strings that others hold or it holds twice, and the route of each, shared with its group of holders."""
+    t = t.filter(pc.equal(t.column("kind"), _STRING))
+    if not t.num_rows:
+        return _table([], STRINGS)
     homes, blobs, own = X.heard(t)
-    h, flag = np.concatenate(blobs), np.concatenate(own)
+    h, wanted = np.concatenate(blobs), np.concatenate(own)
     home = np.repeat(np.array(homes, np.int64), [len(b) for b in blobs])
     order = np.lexsort((home, h))
     new = np.ones(len(h), bool)
@@ -412,69 +407,25 @@ def _answer_strings(t: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
     group, rank = np.repeat(np.arange(len(at)), n), np.arange(len(h)) - np.repeat(at, n)
     who = np.bitwise_xor.reduceat(K.mix(home[order].astype(K.U) + K.U(1)), at)
     peers = np.minimum(rank // PEERS, np.maximum(n[group] // PEERS - 1, 0))
-    route, wanted = np.empty(len(h), K.U), np.empty(len(h), bool)
+    route = np.empty(len(h), K.U)
     route[order] = K.joined(who[group], peers.astype(K.U))
-    wanted[order] = (n > 1)[group]
-    wanted |= flag
+    wanted[order] |= (n > 1)[group]
     ends = np.cumsum([len(b) for b in blobs])
     cut = [(x, np.flatnonzero(wanted[j - len(b) : j]) + j - len(b)) for x, b, j in zip(homes, blobs, ends, strict=True)]
-    return [(x, _STRING, K.blob(h[mine]), K.blob(route[mine])) for x, mine in cut if len(mine)]
-
+    return _table([(x, K.blob(h[mine]), K.blob(route[mine]), b"") for x, mine in cut if len(mine)], STRINGS)
 
-def _answer(length: int, spread: int, batch: int, kinds: tuple[int, ...] = (_CONTEXT, _STRING, _PIECE)):
-    def answer(t):
-        rows = []
-        for kind in kinds:
-            mine = t.filter(pc.equal(t.column("kind"), kind))
-            if mine.num_rows:
-                rows += _answer_strings(mine) if kind == _STRING else _answer_contexts(mine, kind, length, spread, batch)
-        return _table(rows, _HEAR)
 
-    return answer
-
-
-def _cut(length: int, spread: int, gram: int, shape):
+def _cut(length: int, spread: int, shape):
     def cut(key, t, told):
         ids, buf, off = _ordered(t)
         edge = np.zeros(len(buf) + length + 1, np.int32)
-
-        def verdicts(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            mine = told.filter(pc.equal(told.column("kind"), kind))
-            keys = K.unblob(mine.column("hashes"))
-            bits = K.unblob(mine.column("bits"), np.uint8).reshape(len(keys), -(-spread // 8))
-            order = np.argsort(keys, kind="stable")
-            return keys[order], bits[order]
-
-        def mark(first: np.ndarray, last: np.ndarray) -> None:
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + length, -1)
-
-        def judge(lo: int, mine: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> None:
-            known = np.flatnonzero(K.within(mine, keys))
-            if len(known):
-                offsets = np.unpackbits(bits[np.searchsorted(keys, mine[known])], axis=1, count=spread).astype(bool)
-                run, o = np.nonzero(offsets)
-                starts = place[known][run] - o
-                fits = (starts >= first[known][run]) & (starts <= last[known][run])
-                mark(starts[fits] + lo, starts[fits] + lo)
-
-        hot = np.sort(K.unblob(told.filter(pc.equal(told.column("kind"), _HOT)).column("hashes")))
-        strings, routes = _trimmed(told)
-        runs, pieces = verdicts(_CONTEXT), verdicts(_PIECE)
-        seen: list[list[tuple]] = [[], []]
-        for r in _runs(buf, off, length, spread, gram):
-            mine = r.keys()
-            judge(r.lo, mine, r.place, r.first, r.last, *runs)
-            seen[0].append((mine, r.first + r.lo, r.last + r.lo))
-            if len(strings):
-                run, first, last, _ = r.pieces(hot, strings, routes)
-                mine = r.keys(r.place[run], first, last)
-                judge(r.lo, mine, r.place[run], first, last, *pieces)
-                seen[1].append((mine, first + r.lo, last + r.lo))
-        for some in filter(None, seen):  # contexts that the home itself has twice: all of their strings are repeated
-            every, first, last = (np.concatenate(x) for x in zip(*some, strict=True))
-            twice = np.flatnonzero(K.within(every, K.distinct(every)[1]))
-            mark(first[twice], last[twice])
+        spots = K.unblob(told.column("spots"), np.int64)
+        bits = K.unblob(told.column("bits"), np.uint8).reshape(len(spots), spread // 8)
+        for i in range(0, len(spots), 1 << 16):
+            which, start = np.nonzero(np.unpackbits(bits[i : i + (1 << 16)], axis=1))
+            start += spots[i + which]
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + length, -1)
         gone = np.cumsum(edge)[: len(buf)] > 0
         rows = []
         for k, doc in enumerate(ids):
@@ -506,13 +457,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         raise ValueError("length must exceed spread by gram - 1, spread must be a multiple of 8, and gram 8 to 16")
     homes, buckets = H.counts(docs.sparkSession, docs)
     home = H.housed(docs, id_col, text_col, homes)
-    sampling = (length, spread, gram)
-    cores = home.groupBy("home").applyInArrow(_tell_cores(*sampling, buckets), CORES).groupBy("bucket").applyInArrow(_repeated(hot), X.REPLY)
-    said = home.groupBy("home").cogroup(cores.groupBy("home")).applyInArrow(_tell_contexts(*sampling, buckets), TALK)
-    much = cores.where(F.length("multi") > 0).select("home", F.lit(_HOT).alias("kind"), F.col("multi").alias("hashes"), F.lit(b"").alias("bits"))
-    heard = lambda said, *kinds: said.groupBy("bucket").applyInArrow(_answer(length, spread, batch, kinds), HEAR)
-    # strings are answered twice, from the same exchange, so that pieces need not wait for the contexts' family
-    pieces = home.groupBy("home").cogroup(heard(said, _STRING).unionByName(much).groupBy("home")).applyInArrow(_tell_pieces(*sampling, buckets), TALK)
-    told = heard(said, _CONTEXT, _STRING).unionByName(heard(pieces, _PIECE)).unionByName(much)
-    out = home.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(_cut(*sampling, _digest if digest else _bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+    sampling, of = (length, spread, gram), lambda schema: ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
+    cores = home.groupBy("home").applyInArrow(_tell_cores(*sampling, buckets), of(CORES)).groupBy("bucket").applyInArrow(_repeated(hot), X.REPLY)
+    said = home.groupBy("home").cogroup(cores.groupBy("home")).applyInArrow(_tell_contexts(*sampling, buckets), of(TALK))
+    strings = said.groupBy("bucket").applyInArrow(_answer_strings, of(STRINGS))
+    frequent = cores.where(F.length("multi") > 0).select("home", F.lit(b"").alias("hashes"), F.lit(b"").alias("routes"), F.col("multi").alias("hot"))
+    pieces = home.groupBy("home").cogroup(strings.unionByName(frequent).groupBy("home")).applyInArrow(_tell_pieces(*sampling, buckets), of(TALK))
+    decide = _family(length, spread, batch)
+
+    def decide_contexts(t):
+        return decide(t)
+
+    def decide_pieces(t):
+        return decide(t)
+
+    told = said.groupBy("bucket").applyInArrow(decide_contexts, of(HEAR)).unionByName(pieces.groupBy("bucket").applyInArrow(decide_pieces, of(HEAR)))
+    out = home.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(_cut(length, spread, _digest if digest else _bytes), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
     return out.withColumn("doc_id", H.named(out["doc_id"]))
