@@ -13,7 +13,6 @@ TIMESTAMP = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 HEX = r"\b[0-9a-fA-F]{16,}\b"
 INT = r"\b[0-9]{7,}\b"
-KEYED_NUMBER = r"(LOOP=|ID=|STEP=|ROUND=|EPOCH=)[0-9]+|[0-9]{3,}"
 SUFFIXES = ("ing", "ed", "es", "s")
 PREFIX = 5
 MARK = "<@>"
@@ -139,9 +138,16 @@ def typed_values(text: Column) -> Column:
 
 
 def typed_template(text: Column) -> Column:
+    """The text with ``{}`` for each typed value."""
     return F.regexp_replace(text, "|".join(p for _, p in TYPED), "{}")
 
 
+def typed_refill(template: Column, values: Column) -> Column:
+    """Inverse of ``typed_template`` for texts without a ``{}`` of their own: the values' texts, left to right."""
+    parts = F.split(template, r"\{\}", -1)
+    return F.array_join(F.zip_with(parts, F.concat(F.transform(values, lambda v: v["text"]), F.array(F.lit(""))), lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
+
+
 def checksum(text: Column, digits: int = 10) -> Column:
     return F.substring(F.sha2(text, 256), 1, digits)
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import settled
 from . import trace
 
 PACKET = 60
 GROUP = 8
+#: units that a search may name one by one (8 bytes each); beyond, units are joined
+NAMED = 10_000
 
 
 def packets(lines: DataFrame, size: int = PACKET, group: int = GROUP, order: str = "line_no") -> DataFrame:
@@ -18,9 +23,12 @@ def packets(lines: DataFrame, size: int = PACKET, group: int = GROUP, order: str
     return lines.withColumn("packet_id", packet).withColumn("block_id", F.floor(packet / group).cast("long"))
 
 
-def token_index(lines: DataFrame, unit: list[str] | None = None, line: str = "line") -> DataFrame:
-    """Distinct (unit, token)."""
-    return lines.select(*(unit or ["packet_id"]), F.explode(T.tokens_a(F.col(line))).alias("token")).distinct()
+def token_index(lines: DataFrame, unit: list[str] | None = None, line: str = "line", holding: list[str] | None = None) -> DataFrame:
+    """Distinct (unit, token); of all tokens, or of those that hold one of the texts ``holding``."""
+    found = lines.select(*(unit or ["packet_id"]), F.explode(T.tokens_a(F.col(line))).alias("token"))
+    if holding is not None:
+        found = found.where(F.col("token").rlike("|".join(r"\Q" + t.lower() + r"\E" for t in holding)))
+    return found.distinct()
 
 
 def token_df(index: DataFrame) -> DataFrame:
@@ -68,10 +76,14 @@ def selected(lines: DataFrame, ids: list[int], unit: str = "packet_id") -> DataF
 
 
 def two_level(lines: DataFrame, terms: list[str], mode: str = "and", line: str = "line") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits, blocks, packets): blocks are pruned first, then packets inside them, then lines are tested."""
+    """(hits, blocks, packets): blocks are pruned first, then packets inside them, then lines are tested.
+
+    For a single search over lines without an index; ``Context`` keeps the index for many.
+    """
     from . import search
 
-    index = token_index(lines, ["block_id", "packet_id"], line)
+    sound = [t for t in terms if search.prunable(t)]
+    index = token_index(lines, ["block_id", "packet_id"], line, sound or None)
     blocks = search.pruned_units(index.select("block_id", "token").distinct(), terms, mode, ["block_id"])
     if blocks is None:
         every = lines.select("block_id", "packet_id").distinct()
@@ -80,5 +92,61 @@ def two_level(lines: DataFrame, terms: list[str], mode: str = "and", line: str =
     return search.keywords(lines.join(inside, "packet_id", "left_semi"), terms, mode, line), blocks, inside
 
 
-def share(part: Column, whole: Column) -> Column:
-    return F.round(part / whole, 6)
+def within(lines: DataFrame, units: DataFrame, unit: str) -> DataFrame:
+    """The lines of some units: named one by one if they are few (counted), which prunes files too, else joined."""
+    named = [r[0] for r in units.select(unit).limit(NAMED + 1).collect()]
+    return lines.where(F.col(unit).isin(named)) if len(named) <= NAMED else lines.join(units, unit, "left_semi")
+
+
+@dataclass(frozen=True)
+class Context:
+    """Lines in order of their packets and an index of their tokens at two resolutions, written once and searched often."""
+
+    lines: DataFrame
+    tokens: DataFrame  # distinct (block_id, packet_id, token), by token
+    blocks: DataFrame  # distinct (block_id, token), by token
+    line: str = "line"
+
+    @classmethod
+    def of(cls, lines: DataFrame, line: str = "line") -> Context:
+        stored = settled(lines.repartitionByRange("packet_id").sortWithinPartitions("packet_id"))
+        tokens = settled(token_index(stored, ["block_id", "packet_id"], line).repartitionByRange("token").sortWithinPartitions("token", "packet_id"))
+        blocks = tokens.select("block_id", "token").distinct().repartitionByRange("token").sortWithinPartitions("token", "block_id")
+        return cls(stored, tokens, settled(blocks), line)
+
+    def _found(self, units: DataFrame | None, unit: str, terms: list[str], mode: str) -> DataFrame:
+        from . import search
+
+        return search.keywords(self.lines if units is None else within(self.lines, units, unit), terms, mode, self.line)
+
+    def hits(self, terms: list[str], mode: str = "and") -> DataFrame:
+        """Lines that match, of the packets that the index leaves."""
+        from . import search
+
+        return self._found(search.pruned_units(self.tokens, terms, mode, ["packet_id"]), "packet_id", terms, mode)
+
+    def block_hits(self, terms: list[str], mode: str = "and") -> DataFrame:
+        """Lines that match, of whole blocks that the block index leaves."""
+        from . import search
+
+        return self._found(search.pruned_units(self.blocks, terms, mode, ["block_id"]), "block_id", terms, mode)
+
+    def two_level(self, terms: list[str], mode: str = "and", packet_mode: str | None = None) -> DataFrame:
+        """Blocks are pruned by the block index, then packets inside them, then lines are tested.
+
+        With ``packet_mode`` packets are pruned by another rule than blocks: blocks that hold all terms and in
+        them packets that hold any, say. The rule must be no stricter than ``mode``: hits are those of ``mode``.
+        """
+        from . import search
+
+        if mode == "or" and packet_mode == "and":
+            raise ValueError("packets would be pruned more strictly than lines are tested")
+        blocks = search.pruned_units(self.blocks, terms, mode, ["block_id"])
+        if blocks is None:
+            return self.hits(terms, mode)
+        packets = search.pruned_units(within(self.tokens, blocks, "block_id"), terms, packet_mode or mode, ["packet_id"])
+        return self._found(blocks, "block_id", terms, mode) if packets is None else self._found(packets, "packet_id", terms, mode)
+
+    def units_with(self, token: str, unit: str = "packet_id") -> DataFrame:
+        """Units that hold a whole token: an equality, which file statistics and their order prune."""
+        return (self.blocks if unit == "block_id" else self.tokens).where(F.col("token") == token.lower()).select(unit).distinct()

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import forms
+
 # Words that are no probe.
 STOP = ("could", "from", "have", "that", "then", "this", "when", "where", "will", "with")
 
@@ -37,22 +39,17 @@ def compressed(lines: DataFrame, block: str, line: str = "line", order: list[str
     return each.groupBy("method").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("bytes").alias("bytes")).withColumn("ratio", F.round(F.col("raw_bytes") / F.col("bytes"), 3)).orderBy("bytes", "method")
 
 
-def trained(lines: DataFrame, block: str, first: int, line: str = "line", size: int = 16_384) -> DataFrame:
-    """(block, raw_bytes, bytes): zstd with a dictionary trained on the ``first`` lowest blocks, a bounded sample of ``first`` blocks."""
-    sample = [r[line].encode() for r in lines.where(F.col(block) < first).select(line).orderBy(line).limit(20_000).collect()]
+def trained(lines: DataFrame, block: str, first: int, line: str = "line", size: int = 16_384, order: str = "line_no") -> DataFrame:
+    """(block, raw_bytes, bytes): zstd with a dictionary trained once on the ``first`` lowest blocks, all lines in order."""
+    book = forms.train(lines.where(F.col(block) < first), order, line, size)
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        try:
-            book = zstandard.train_dictionary(size, sample)
-        except zstandard.ZstdError:  # too little to learn from
-            book = None
         for b in batches:
-            packer = zstandard.ZstdCompressor(level=10, dict_data=book)
-            yield pd.DataFrame({block: b[block], "raw_bytes": [len(x.encode()) for x in b["text"]], "bytes": [len(packer.compress(x.encode())) for x in b["text"]]})
+            raw = [x.encode() for x in b["text"]]
+            yield pd.DataFrame({block: b[block], "raw_bytes": [len(x) for x in raw], "bytes": [len(forms.squeezed(x, book)) for x in raw]})
 
-    whole = lines.groupBy(block).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(line), F.lit("")).alias("x")))), lambda r: r["x"])
+    whole = lines.groupBy(block).agg(F.array_join(in_order, "\n").alias("text"))
     return whole.mapInPandas(sizes, f"{block} long, raw_bytes long, bytes long")
 
 

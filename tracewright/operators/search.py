@@ -4,6 +4,9 @@ Tokens: ``tool:x``, ``k:path`` (a leaf at path), ``v:text`` (a string leaf equal
 to it), ``kv:path=text``, ``n:path=number``; anything else is a plain keyword that
 matches as itself, its stem, or a five-letter prefix of either. All tokens are
 trimmed and compared in lower case. AND wants every token, OR any.
+
+Structured tokens are tested on the flattened JSON, in Python; but only on lines that an
+expression over the payload as a variant lets through, which no match escapes.
 """
 
 from __future__ import annotations
@@ -59,26 +62,77 @@ def search(lines: DataFrame, keywords: list[str], mode: str = "and", line: str =
         return lines.limit(0)
     text = F.col(line)
     needs = any(re.match(r"(k|v|kv|n):", w) for w in words)
-    if needs and mode == "and":  # what cannot match is dropped before JSON is parsed
-        lines = lines.where(F.contains(text, F.lit("payload=")))
-        for w in words:
-            if w.startswith("tool:"):
-                lines = lines.where(structured(w, trace.loose_tool(text), F.lit(None)))
-    work = lines.withColumn("__leaf", trace.leaves(trace.loose_payload(text))) if needs else lines
-    parts = [p if (p := structured(w, trace.loose_tool(text), F.col("__leaf"))) is not None else plain(w, text) for w in words]
-    test = parts[0]
-    for p in parts[1:]:
-        test = test & p if mode == "and" else test | p
-    return work.where(test).drop("__leaf")
+    tool = trace.loose_tool(text)
+    if needs:  # what cannot match is dropped before JSON is flattened
+        lines = lines.withColumn("__payload", trace.loose_payload(text)).withColumn("__json", F.try_parse_json(F.lower("__payload")))
+        may = [possible(w, F.col("__payload"), F.col("__json")) if re.match(r"(k|v|kv|n):", w) else p if (p := structured(w, tool, F.lit(None))) is not None else plain(w, text) for w in words]
+        lines = lines.where(_all(may, mode)).drop("__json").withColumn("__leaf", trace.leaves(F.col("__payload"))).drop("__payload")
+    parts = [p if (p := structured(w, tool, F.col("__leaf"))) is not None else plain(w, text) for w in words]
+    return lines.where(_all(parts, mode)).drop("__leaf")
 
 
-def keywords(lines: DataFrame, terms: list[str], mode: str = "and", line: str = "line") -> DataFrame:
-    """Lines that hold all (or any) of the terms as substrings, whatever their case."""
-    tests = [F.contains(F.lower(F.col(line)), F.lit(t.lower())) for t in terms]
+def _all(tests: list[Column], mode: str) -> Column:
     test = tests[0]
     for t in tests[1:]:
         test = test & t if mode == "and" else test | t
-    return lines.where(test)
+    return test
+
+
+def _readings(path: str) -> list[str]:
+    """Variant paths that a flattened path may stand for: a dot or an index can be part of a key as well."""
+
+    def keys(rest: str) -> list[str]:
+        out = []
+        for end in [m.start() for m in re.finditer(r"[.\[]", rest) if m.start()] + [len(rest)]:
+            out += [f"['{rest[:end]}']{tail}" for tail in behind(rest[end:])]
+        return out
+
+    def behind(rest: str) -> list[str]:
+        if not rest:
+            return [""]
+        if rest[0] == ".":
+            return keys(rest[1:]) if rest[1:] else []
+        m = re.match(r"\[(\d{1,9})\]", rest)
+        return [m[0] + tail for tail in behind(rest[m.end() :])] if m else []
+
+    return ["$" + p for p in (keys(path) + (behind(path) if path[0] == "[" else []))]
+
+
+def possible(token: str, payload: Column, json: Column) -> Column:
+    """Whether a payload may match a structured token; false only where it cannot.
+
+    ``json`` is the payload in lower case as a variant. Payloads that are none (a repeated key, say), hold an
+    escape or characters outside ASCII pass untested.
+    """
+    open_ = json.isNull() | F.contains(payload, F.lit("\\")) | (F.length(payload) != F.octet_length(payload))
+    kind, _, rest = token.partition(":")
+    path, _, value = rest.partition("=")
+    if kind == "v":
+        return payload.isNotNull() & (open_ | F.contains(F.lower(payload), F.lit(rest)))
+    path = rest if kind == "k" else path
+    if not path or len(path) > 200 or re.search(r"['\"\\]", path) or path.count(".") + path.count("[") > 5:
+        return payload.isNotNull()
+    value, number = value.strip(), None
+    try:
+        number = float(value) if kind in ("kv", "n") else None
+    except ValueError:
+        if kind == "n":
+            return F.lit(False)
+    hit = F.lit(False)
+    for p in _readings(path):
+        there = F.try_variant_get(json, p, "variant").isNotNull()
+        if number is not None:
+            there = there & (F.coalesce(F.try_variant_get(json, p, "double") == number, F.lit(False)) | (F.lower(F.trim(F.try_variant_get(json, p, "string"))) == value))
+        elif kind == "kv":
+            there = there & (F.lower(F.trim(F.try_variant_get(json, p, "string"))) == value) if value != "none" else there
+        hit = hit | F.coalesce(there, F.lit(False))
+    return payload.isNotNull() & (open_ | hit)
+
+
+def keywords(lines: DataFrame, terms: list[str], mode: str = "and", line: str = "line") -> DataFrame:
+    """Lines that hold all (or any) of the terms as substrings, whatever their case; without a term, none."""
+    tests = [F.contains(F.lower(F.col(line)), F.lit(t.lower())) for t in terms]
+    return lines.where(_all(tests, mode)) if tests else lines.limit(0)
 
 
 def prunable(term: str) -> bool:
@@ -92,7 +146,7 @@ def pruned_units(index: DataFrame, terms: list[str], mode: str, unit: list[str],
     AND needs a token for each prunable term; OR needs a token for any, and prunes only if every term is prunable.
     """
     sound = [t.lower() for t in terms if prunable(t)]
-    if not sound or (mode == "or" and len(sound) < len(terms)):
+    if not terms or not sound or (mode == "or" and len(sound) < len(terms)):
         return None
     hit = index.where(F.col(token).rlike("|".join(r"\Q" + t + r"\E" for t in sound)))
     if mode == "or":

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -59,30 +59,60 @@ def compile_bank(rows: list[tuple[str, str]]) -> list[Template]:
 
 
 def match(lines: DataFrame, bank: list[Template], line: str = "line") -> DataFrame:
-    """Adds event_id and params of the first template that fits, nulls where none does."""
+    """Adds event_id, params and tpl of the first template that fits, nulls where none does.
+
+    ``tpl`` is the template's place in the bank: an event id may stand for several templates.
+    """
     if len(bank) > CHAIN:
         return _match_batches(lines, bank, line)
-    out = F.lit(None).cast("struct<event_id:bigint,params:array<string>>")
+    out = F.lit(None).cast("struct<event_id:bigint,params:array<string>,tpl:int>")
     text = F.col(line)
-    for t in reversed(bank):
+    for i, t in reversed(list(enumerate(bank))):
         p = "(?s)" + t.pattern()
-        params = [F.regexp_extract(text, p, i + 1) for i in range(t.n_params)]
-        hit = F.struct(F.lit(t.event_id).cast("long").alias("event_id"), (F.array(*params) if params else F.array().cast("array<string>")).alias("params"))
+        params = [F.regexp_extract(text, p, k + 1) for k in range(t.n_params)]
+        hit = F.struct(F.lit(t.event_id).cast("long").alias("event_id"), (F.array(*params) if params else F.array().cast("array<string>")).alias("params"), F.lit(i).alias("tpl"))
         out = F.when(F.contains(text, F.lit(t.anchor)) & text.rlike(p), hit).otherwise(out)
-    return lines.withColumn("m", out).select("*", "m.event_id", "m.params").drop("m")
+    return lines.withColumn("m", out).select("*", "m.event_id", "m.params", "m.tpl").drop("m")
 
 
 def _match_batches(lines: DataFrame, bank: list[Template], line: str) -> DataFrame:
-    """The same by compiled expressions, for banks too large for one expression chain."""
+    """The same by compiled expressions, for banks too large for one expression chain.
+
+    One automaton finds the templates whose longest literal stands in a line; only their expressions are tried.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(t.event_id, t.anchor, re.compile(t.pattern(re.escape, r"\Z"), re.S)) for t in bank]
+        compiled = [(t.event_id, re.compile(t.pattern(re.escape, r"\Z"), re.S)) for t in bank]
+        near = _anchored(bank)
+
+        def first(s: str | None) -> tuple[int | None, list[str] | None, int | None]:
+            for i in near(s) if s is not None else ():
+                if m := compiled[i][1].match(s):
+                    return compiled[i][0], list(m.groups()), i
+            return None, None, None
+
         for b in batches:
-            found = [next(((e, list(m.groups())) for e, a, x in compiled if a in s and (m := x.match(s))), (None, None)) if s is not None else (None, None) for s in b[line]]
-            yield b.assign(event_id=pd.array([e for e, _ in found], dtype="Int64"), params=[p for _, p in found])
+            found = [first(s) for s in b[line]]
+            yield b.assign(event_id=pd.array([e for e, _, _ in found], dtype="Int64"), params=[p for _, p, _ in found], tpl=pd.array([i for *_, i in found], dtype="Int32"))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
-    return lines.mapInPandas(run, f"{fields}, event_id bigint, params array<string>")
+    return lines.mapInPandas(run, f"{fields}, event_id bigint, params array<string>, tpl int")
+
+
+def _anchored(bank: list[Template]) -> Callable[[str], list[int]]:
+    """Places of the templates whose anchor a text holds, in order."""
+    import ahocorasick
+
+    always, by_anchor = [], {}
+    for i, t in enumerate(bank):
+        by_anchor.setdefault(t.anchor, []).append(i) if t.anchor else always.append(i)
+    words = ahocorasick.Automaton()
+    for anchor, places in by_anchor.items():
+        words.add_word(anchor, places)
+    if not by_anchor:
+        return lambda text: always
+    words.make_automaton()
+    return lambda text: sorted({*always, *(i for _, places in words.iter(text) for i in places)})
 
 
 def bank_table(spark: SparkSession, bank: list[Template]) -> DataFrame:
@@ -91,10 +121,13 @@ def bank_table(spark: SparkSession, bank: list[Template]) -> DataFrame:
 
 
 def render(matched: DataFrame, bank: list[Template]) -> DataFrame:
-    """Adds ``rendered``: literals and parameters in turn; unmatched lines are null."""
-    literals = F.broadcast(bank_table(matched.sparkSession, bank).select("event_id", "literals"))  # a bank is a file of the driver's
+    """Adds ``rendered``: literals and parameters in turn; unmatched lines are null. Wants ``tpl``, or event ids that occur once."""
+    by = "tpl" if "tpl" in matched.columns else "event_id"
+    if by == "event_id" and len({t.event_id for t in bank}) < len(bank):
+        raise ValueError("an event id stands for several templates: match gives tpl to tell them apart")
+    literals = F.broadcast(bank_table(matched.sparkSession, bank).withColumnRenamed("prio", "tpl").select(by, "literals"))  # a bank is a file of the driver's
     filled = F.array_join(F.zip_with("literals", F.concat("params", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return matched.join(literals, "event_id", "left").withColumn("rendered", F.when(F.col("event_id").isNotNull(), filled)).drop("literals")
+    return matched.join(literals, by, "left").withColumn("rendered", F.when(F.col(by).isNotNull(), filled)).drop("literals")
 
 
 def candidates(bank: list[Template], query: str, most: int = CANDIDATES) -> list[int]:
@@ -110,9 +143,11 @@ def recall(matched: DataFrame, number: int) -> DataFrame:
 
 
 def fast_search(matched: DataFrame, bank: list[Template], query: str, line: str = "line") -> DataFrame:
-    """Lines of candidate templates that hold all terms of the query; filtering precedes any limit."""
-    found = candidates(bank, query)
-    return matched.where(F.col("event_id").isin(found) & all_terms(F.col(line), query)) if found else matched.limit(0)
+    """Lines of known events that hold all terms of the query; filtering precedes any limit.
+
+    A term may stand in a parameter, so no template can be left out; ``candidates`` only ranks them.
+    """
+    return matched.where(F.col("event_id").isNotNull() & all_terms(F.col(line), query))
 
 
 def all_terms(line: Column, query: str) -> Column:

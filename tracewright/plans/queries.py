@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import encode, index, memory, mine, reports, search, trace
+from ..operators import encode, forms, index, memory, mine, reports, search, trace
 from ..operators import templates as M
 from ..sources import store
 from ..sources import tables as S
-from ..streaming import incremental
+from ..streaming import incremental, protocol
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,17 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return index.packets(_lines(spark, d), 8, 8, "doc_id")
 
 
+_CONTEXTS: dict[tuple[str, str], index.Context] = {}
+
+
+def _context(spark: SparkSession, d: str) -> index.Context:
+    """The packed lines and their index, written by the first query of the application that needs them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = index.Context.of(_packed(spark, d))
+    return _CONTEXTS[key]
+
+
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     return M.match(_trace(spark, d), BANK)
 
@@ -129,9 +140,15 @@ def _keyword(name: str, terms: list[str], mode: str) -> None:
     test = (" AND " if mode == "and" else " OR ").join(f"contains(lower(line), '{t.lower()}')" for t in terms)
     sql = f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE {test}"
     query(name, sql)(lambda spark, d: search.keywords(_lines(spark, d), terms, mode))
-    query(name.replace("keyword_", "keyword_indexed_"), sql)(
-        lambda spark, d: search.indexed(p := _packed(spark, d), index.token_index(p), terms, mode).hits.select("doc_id", "line_no", "line")
-    )
+    query(name.replace("keyword_", "keyword_indexed_"), sql)(lambda spark, d: _context(spark, d).hits(terms, mode).select("doc_id", "line_no", "line"))
+
+
+@query("index_build", f"WITH {TOKENS} SELECT (SELECT count(*) FROM lines) AS n_lines, count(*) AS n_tokens, count(DISTINCT (block_id, token)) AS n_block_tokens FROM tokens")
+def index_build(spark, d):
+    """The written lines and indexes that the searches below read, built anew."""
+    c = index.Context.of(_packed(spark, d))
+    n = [x.agg(F.count(F.lit(1)).alias(name)) for x, name in ((c.lines, "n_lines"), (c.tokens, "n_tokens"), (c.blocks, "n_block_tokens"))]
+    return n[0].crossJoin(n[1]).crossJoin(n[2])  # one row each
 
 
 _keyword("keyword_all", ["eation", "thand"], "and")
@@ -197,9 +214,41 @@ _selectivity("block_selectivity", "block_id")
 @query("twolevel_select", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE contains(lower(line), 'apach') AND contains(lower(line), 'version')")
 def twolevel_select(spark, d):
     """Blocks pruned, then packets in them, then lines tested."""
+    return _context(spark, d).two_level(["apach", "version"]).select("doc_id", "line_no", "line")
+
+
+@query("twolevel_unindexed", ORACLE_SQL["twolevel_select"])
+def twolevel_unindexed(spark, d):
+    """The same for one search, without a written index."""
     return index.two_level(_packed(spark, d), ["apach", "version"])[0].select("doc_id", "line_no", "line")
 
 
+@query("twolevel_resolutions", ORACLE_SQL["twolevel_select"])
+def twolevel_resolutions(spark, d):
+    """Blocks that hold all terms, in them packets that hold any, then lines that hold all."""
+    return _context(spark, d).two_level(["apach", "version"], packet_mode="or").select("doc_id", "line_no", "line")
+
+
+@query("block_hits", f"WITH {PACKED} SELECT block_id, count(*) AS n_hits, min(line_no) AS first FROM packed WHERE contains(lower(line), 'apach') AND contains(lower(line), 'version') GROUP BY block_id")
+def block_hits(spark, d):
+    """Hits by block, of the blocks that the block index leaves."""
+    return _context(spark, d).block_hits(["apach", "version"]).groupBy("block_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("line_no").alias("first"))
+
+
+@query("context_searches", f"WITH {PACKED} SELECT term, count(*) AS n FROM packed, (VALUES ('apach'), ('licen'), ('é')) AS t(term) WHERE contains(lower(line), term) GROUP BY term")
+def context_searches(spark, d):
+    """Several searches over one written index; a term outside the tokeniser's alphabet reads all."""
+    c = _context(spark, d)
+    hits = [c.two_level([t]).select(F.lit(t).alias("term")) for t in ("apach", "licen", "é")]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("token_packets", f"WITH {TOKENS} SELECT DISTINCT packet_id FROM tokens WHERE token = 'licensed'")
+def token_packets(spark, d):
+    """Packets that hold a whole token, by equality."""
+    return _context(spark, d).units_with("licensed")
+
+
 @query("packet_range", f"WITH {TRACE} SELECT line_no // 60 AS packet_id, count(*) AS n, min(line_no) AS first, max(line_no) AS last FROM trace WHERE line_no // 60 BETWEEN 3 AND 6 GROUP BY 1")
 def packet_range(spark, d):
     p = index.packet_range(index.packets(_trace(spark, d)), 3, 7)
@@ -287,6 +336,21 @@ def fast_candidates(spark, d):
     return spark.createDataFrame(list(enumerate(found)), "rank long, event_id long")
 
 
+@query("candidate_lines", f"WITH {MATCHED} SELECT event_id::BIGINT AS event_id, CASE event_id WHEN 2 THEN 0 WHEN 9 THEN 1 WHEN 4 THEN 2 WHEN 3 THEN 3 ELSE 4 END::BIGINT AS rank, count(*) AS n FROM matched WHERE event_id IS NOT NULL GROUP BY 1, 2")
+def candidate_lines(spark, d):
+    """Lines of each candidate event, with its rank."""
+    ranks = spark.createDataFrame(list(enumerate(M.candidates(BANK, 'tool_call::error "k" payload'))), "rank long, event_id long")
+    return _matched(spark, d).join(F.broadcast(ranks), "event_id").groupBy("event_id", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("literal_parameters", f"WITH {TRACE} SELECT line_no, {_param(1)} AS p1, {_param(2)} AS p2, {_param(3)} AS p3, {_param(4)} AS p4 FROM trace WHERE {_case(lambda t, p: 'true', 'false')}")
+def literal_parameters(spark, d):
+    """Parameters found by the literals of the line's template in turn."""
+    texts = F.broadcast(M.bank_table(spark, BANK).select(F.col("prio").alias("tpl"), F.regexp_replace("template", r"\[\*\]", mine.ANY).alias("template")))  # a bank is a file of the driver's
+    found = _matched(spark, d).join(texts, "tpl").withColumn("found", mine.extracted("line", "template"))
+    return found.select("line_no", *[F.get("found", F.lit(i)).alias(f"p{i + 1}") for i in range(4)])
+
+
 @query("fast_search", f"WITH {MATCHED} SELECT line_no, event_id::BIGINT AS event_id FROM matched WHERE event_id IS NOT NULL AND contains(line, 'true') AND contains(line, 'payload')")
 def fast_search(spark, d):
     return M.fast_search(_matched(spark, d), BANK, "payload true").select("line_no", "event_id")
@@ -384,6 +448,14 @@ def typed_values(spark, d):
     return v.groupBy("v.kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v.text").alias("n_distinct"))
 
 
+@query("typed_roundtrip", "SELECT count(*) AS n, 0::BIGINT AS n_different FROM events")
+def typed_roundtrip(spark, d):
+    """Typed values put back into their template."""
+    lines = _trace(spark, d)
+    back = T.typed_refill(T.typed_template(F.col("line")), T.typed_values(F.col("line")))
+    return lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.contains("line", F.lit("{}")) & (back != F.col("line"))).alias("n_different"))
+
+
 # --- encodings ------------------------------------------------------------------------------------
 
 CHANNELS = MATCHED + ",\nchan AS (" + " UNION ALL ".join(f"SELECT line_no, event_id::BIGINT AS event_id, {i} AS channel, {_param(i + 1)} AS value FROM matched" for i in range(5)) + "),\nvals AS (SELECT * FROM chan WHERE value IS NOT NULL)"
@@ -402,6 +474,14 @@ def slot_types(spark, d):
     return encode.slot_types(encode.channels(_matched(spark, d), ["line_no"]))
 
 
+@query("channel_codec", f"WITH {CHANNELS} SELECT line_no, event_id, channel, value FROM vals")
+def channel_codec(spark, d):
+    """Parameters in the short form of their channel's type, and back."""
+    found = encode.channels(_matched(spark, d), ["line_no"])
+    typed = encode.typed_channels(found, encode.channel_types(found), sum(t.n_params for t in BANK))
+    return typed.withColumn("value", encode.untyped(typed)).select("line_no", "event_id", "channel", "value")
+
+
 @query("dict_channel", f"""WITH {CHANNELS}, g AS (SELECT channel, value, count(*) AS n, min(line_no) AS first FROM vals WHERE event_id = 2 AND channel IN (2, 3) GROUP BY channel, value)
 SELECT channel, value, n, row_number() OVER (PARTITION BY channel ORDER BY n DESC, first) - 1 AS code FROM g""")
 def dict_channel(spark, d):
@@ -433,12 +513,12 @@ def _slots(spark, d):
 
 @query("delta_zigzag", f"WITH v AS ({_K}), x AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY template ORDER BY line_no), 0) AS delta FROM v) SELECT line_no, template, delta, CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END AS zigzag FROM x")
 def delta_zigzag(spark, d):
-    return _slots(spark, d).withColumn("delta", encode.delta("value", ["template"], ["line_no"])).select("line_no", "template", "delta", N.zigzag(F.col("delta")).alias("zigzag"))
+    return encode.deltas(_slots(spark, d), "value", ["template"], ["line_no"]).select("line_no", "template", "delta", N.zigzag(F.col("delta")).alias("zigzag"))
 
 
 @query("delta_restore", f"SELECT count(*) AS n, 0::BIGINT AS n_different FROM ({_K})")
 def delta_restore(spark, d):
-    x = _slots(spark, d).withColumn("delta", encode.delta("value", ["template"], ["line_no"]))
+    x = encode.deltas(_slots(spark, d), "value", ["template"], ["line_no"])
     back = encode.restore(x.withColumn("step", N.unzigzag(N.zigzag(F.col("delta")))), "step", ["template"], ["line_no"])
     return back.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("restored") != F.col("value")).alias("n_different"))
 
@@ -457,6 +537,17 @@ def adaptive_delta(spark, d):
     return x.groupBy("choice").agg(F.count(F.lit(1)).alias("n"), F.sum("abs_bytes").alias("abs_bytes"), F.sum("delta_bytes").alias("delta_bytes"))
 
 
+@query("slot_choice", f"""WITH v AS (SELECT l_orderkey // 256 AS packet, l_returnflag AS template, l_orderkey, l_linenumber, unnest([0, 1, 2]) AS slot, unnest([l_partkey, l_suppkey, l_quantity::BIGINT]) AS value FROM lineitem),
+x AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY packet, template, slot ORDER BY l_orderkey, l_linenumber, value), 0) AS delta FROM v),
+z AS (SELECT *, {_BYTES.format('(2 * value)')} AS a, {_BYTES.format('(CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END)')} AS b FROM x)
+SELECT packet, template, slot, count(*) AS n, sum(a)::BIGINT AS abs_bytes, sum(b)::BIGINT AS delta_bytes, CASE WHEN sum(b) < sum(a) THEN 'delta' ELSE 'abs' END AS choice FROM z GROUP BY packet, template, slot""")
+def slot_choice(spark, d):
+    """For each slot of each packet's templates the shorter of values and deltas."""
+    slots = F.posexplode(F.array("l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))).alias("slot", "value")
+    v = S.table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 256).alias("packet"), F.col("l_returnflag").alias("template"), "l_orderkey", "l_linenumber", slots)
+    return encode.slot_choice(v, "value", ["packet", "template", "slot"], ["l_orderkey", "l_linenumber", "value"])
+
+
 @query("rle_runs", """WITH v AS (SELECT user_id % 8 AS stream, event_id, event_type FROM events), c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS c FROM v WINDOW w AS (PARTITION BY stream ORDER BY event_id)),
 r AS (SELECT *, sum(c) OVER (PARTITION BY stream ORDER BY event_id) AS run FROM c) SELECT stream, run::BIGINT AS run, min(event_type) AS value, count(*) AS length, min(event_id) AS first FROM r GROUP BY stream, run""")
 def rle_runs(spark, d):
@@ -473,14 +564,29 @@ def mtf_positions(spark, d):
     return encode.move_to_front(v, "event_type", "stream", "event_id").select("stream", "event_id", "position")
 
 
+@query("front_bits", """WITH v AS (SELECT event_id // 64 AS packet, event_id, event_type FROM events),
+p AS (SELECT a.packet, a.event_id, max(b.event_id) AS before FROM v a LEFT JOIN v b ON a.packet = b.packet AND a.event_type = b.event_type AND b.event_id < a.event_id GROUP BY a.packet, a.event_id),
+m AS (SELECT p.packet, p.event_id, count(DISTINCT v.event_type) AS position FROM p LEFT JOIN v ON v.packet = p.packet AND v.event_id < p.event_id AND v.event_id > coalesce(p.before, -1) GROUP BY p.packet, p.event_id)
+SELECT packet, count(*) AS n, max(position) AS largest, greatest(1, length(bin(max(position))))::BIGINT AS bits, ceil(count(*) * greatest(1, length(bin(max(position)))) / 8.0)::BIGINT AS packed_bytes FROM m GROUP BY packet""")
+def front_bits(spark, d):
+    """Move-to-front positions of each packet at a fixed width."""
+    v = S.table(spark, d, "events").select(F.floor(F.col("event_id") / 64).alias("packet"), "event_id", "event_type")
+    return encode.front_widths(v, "event_type", "packet", "event_id")
+
+
 @query("bit_widths", f"WITH v AS ({_K}), g AS (SELECT template, count(*) AS n, max(value) AS largest FROM v GROUP BY template) SELECT template, n, largest, greatest(1, length(bin(largest)))::BIGINT AS bits, ceil(n * greatest(1, length(bin(largest))) / 8.0)::BIGINT AS packed_bytes FROM g")
 def bit_widths(spark, d):
     return encode.bit_widths(_slots(spark, d), "value", ["template"])
 
 
-@query("huffman_lengths")
+@query("huffman_lengths", """WITH RECURSIVE c AS (SELECT event_type AS s, count(*) AS n FROM events GROUP BY 1),
+h(q, used) AS (SELECT list_sort(list({'n': n, 's': s, 'm': [s]})), []::VARCHAR[] FROM c
+  UNION ALL SELECT list_sort(list_append(q[3:], {'n': q[1].n + q[2].n, 's': q[1].s, 'm': list_concat(q[1].m, q[2].m)})), list_concat(used, list_concat(q[1].m, q[2].m)) FROM h WHERE len(q) > 1),
+l AS (SELECT s, n, greatest(1, len(list_filter(used, lambda x: x = s)))::INTEGER AS bits FROM c, h WHERE len(q) = 1),
+k AS (SELECT *, (coalesce(sum(1::BIGINT << (40 - bits)) OVER (ORDER BY bits, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (40 - bits)) AS code FROM l)
+SELECT s AS event_type, n, bits, lpad(bin(code), bits, '0') AS code FROM k""")
 def huffman_lengths(spark, d):
-    """Canonical Huffman codes of event types (no SQL: the tree is built by merging)."""
+    """Canonical Huffman codes of event types."""
     return encode.huffman(S.table(spark, d, "events"), "event_type")
 
 
@@ -510,6 +616,36 @@ def smallest_method(spark, d):
     return encode.smallest(plain.unionByName(each), ["doc_id"])
 
 
+def _form(name: str) -> None:
+    sql = ORACLE_SQL["canon_lossy"].replace("AS canon", "AS line") if name == "lossy" else f"WITH {TRACE} SELECT line_no, line FROM trace"
+
+    def run(spark, d):
+        lines = index.packets(_trace(spark, d))
+        return forms.decode(forms.encode(lines, None if name == "smallest" else name)).select("line_no", "line")
+
+    run.__doc__ = f"Packets in the form {name}, and the lines out of them again."
+    query(f"form_{name}", sql)(run)
+
+
+for _name in (*forms.FORMS, "smallest"):
+    _form(_name)
+
+
+@query("form_sizes")
+def form_sizes(spark, d):
+    """Packets by the form that is the shortest of seven, with their bytes (no SQL: compressors)."""
+    return forms.sizes(forms.encode(index.packets(_trace(spark, d))))
+
+
+@query("trace_codec", f"WITH {TRACE} SELECT line_no, line, true AS coded FROM trace")
+def trace_codec(spark, d):
+    """Trace lines as typed columns, written, and the lines out of them again."""
+    lines = _trace(spark, d)
+    keys = [r["key"] for r in encode.json_keys(lines.withColumn("payload", trace.loose_payload(F.col("line"))), "payload", 256).collect()]
+    stored = store.settled(trace.encode(lines, keys).withColumn("coded", F.col("raw").isNull()))
+    return trace.decode(stored, keys).select("line_no", "line", "coded")
+
+
 # --- memory ---------------------------------------------------------------------------------------
 
 def _memory(spark, d):
@@ -594,7 +730,7 @@ def _store(kind: str):
     return run
 
 
-for _kind in ("lite", "cold", "hot"):
+for _kind in store.KINDS:
     query(f"store_roundtrip_{_kind}", f"SELECT count(*) AS n, 0::BIGINT AS n_different, '{_kind}' AS kind FROM events")(_store(_kind))
 
 
@@ -622,6 +758,44 @@ def commit_last(spark, d):
     return store.last_commit(spark.read.parquet(path)).select("seq", "text_fingerprint", "text")
 
 
+@query("text_files", "SELECT row_number() OVER (ORDER BY f, k) - 1 AS line_no, line FROM (SELECT 0 AS f, r_regionkey AS k, r_name AS line FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation)")
+def text_files(spark, d):
+    """Text files read in order of file and place."""
+    path = store.scratch_path(spark)
+    for name, table, key, line in (("b", "nation", "n_nationkey", "n_name"), ("a", "region", "r_regionkey", "r_name")):
+        S.table(spark, d, table).repartition(1).sortWithinPartitions(key).select(line).write.text(f"{path}/{name}")
+    return S.read_lines(spark, f"{path}/*")
+
+
+@query("template_file", ORACLE_SQL["template_bank"])
+def template_file(spark, d):
+    """A template file, compiled."""
+    path = store.scratch_path(spark)
+    spark.createDataFrame(BANK_ROWS, "EventId string, EventTemplate string").coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return M.bank_table(spark, M.compile_bank(S.read_templates(spark, path))).select("event_id", "n_params", "anchor", "prio")
+
+
+@query("manifest_sets", "SELECT 'nations' AS name, count(*) AS n_lines FROM nation UNION ALL SELECT 'regions', count(*) FROM region")
+def manifest_sets(spark, d):
+    """Data sets named in a manifest, each read from its log."""
+    path = store.scratch_path(spark)
+    rows = []
+    for name, table, line in (("nations", "nation", "n_name"), ("regions", "region", "r_name")):
+        S.table(spark, d, table).select(line).write.text(f"{path}/{name}")
+        rows.append((name, f"{path}/{name}", ""))
+    spark.createDataFrame(rows, "name string, log string, tpl string").coalesce(1).write.option("header", True).csv(f"{path}/manifest")
+    sets = S.read_manifest(spark, f"{path}/manifest").collect()  # a manifest is a list of files
+    counts = [S.read_lines(spark, r["log"]).agg(F.lit(r["name"]).alias("name"), F.count(F.lit(1)).alias("n_lines")) for r in sets]
+    return counts[0].unionByName(counts[1])
+
+
+@query("size_raw", f"WITH {TRACE} SELECT line_no // 4096 AS block_id, sum(length(line) + 1)::BIGINT - 1 AS raw_bytes FROM trace GROUP BY 1")
+def size_raw(spark, d):
+    """Bytes of the trace lines by blocks, as the size report counts them."""
+    p = index.packets(_trace(spark, d), 4096, 1)
+    return p.groupBy("block_id").agg((F.sum(F.octet_length("line") + 1) - 1).alias("raw_bytes"))
+
+
 @query("size_report")
 def size_report(spark, d):
     """Bytes of the trace lines under general compressors, by blocks (no SQL: compressors)."""
@@ -654,6 +828,43 @@ def stream_slot_deltas(spark, d):
     return incremental.drained(incremental.slot_deltas(s))
 
 
+def _streams(spark, d):
+    """Sixteen streams of trace lines."""
+    return S.trace_lines(incremental.source(spark, f"{d}/events.parquet")).withColumn("stream", F.pmod("line_no", F.lit(16)))
+
+
+def _protocol(kind: str) -> None:
+    def run(spark, d):
+        written = incremental.drained(protocol.stream_records(_streams(spark, d), kind))
+        return protocol.lines_of(written, kind).select("line_no", "line")
+
+    run.__doc__ = f"Records of kind {kind} written by a stream, and the lines out of them again."
+    query(f"stream_protocol_{kind}", f"WITH {TRACE} SELECT line_no, line FROM trace")(run)
+
+
+for _name in protocol.KINDS:
+    _protocol(_name)
+
+
+@query("stream_protocol_reject", "SELECT event_id AS line_no, event_type || ' ' || user_id AS line, event_type NOT IN ('click', 'view') AS rejected FROM events")
+def stream_protocol_reject(spark, d):
+    """A closed dictionary: lines of other templates are rejected with their text."""
+    e = incremental.source(spark, f"{d}/events.parquet")
+    s = e.select(F.pmod("event_id", F.lit(16)).alias("stream"), F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")).alias("line"))
+    known = ["click 1", "view 1"]
+    return protocol.lines_of(incremental.drained(protocol.stream_records(s, "ints", known=known)), "ints", known=known).select("line_no", "line", "rejected")
+
+
+@query("protocol_dictionary", """WITH v AS (SELECT event_id % 16 AS stream, event_type, (row_number() OVER (PARTITION BY event_id % 16 ORDER BY event_id) - 1) // 64 AS packet FROM events),
+f AS (SELECT stream, event_type, min(packet) AS packet FROM v GROUP BY stream, event_type) SELECT stream, packet, count(*) AS n_new FROM f GROUP BY stream, packet""")
+def protocol_dictionary(spark, d):
+    """Templates that each packet's dictionary record brings (batch): packets are told by the data records before."""
+    e = S.table(spark, d, "events")
+    s = e.select(F.pmod("event_id", F.lit(16)).alias("stream"), F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")).alias("line"))
+    r = protocol.records(s, "ints").withColumn("packet", F.count_if(F.col("kind") == "DATA").over(Window.partitionBy("stream").orderBy("seq")))
+    return r.where("kind = 'DICT'").select("stream", "packet", F.col("n_new"))
+
+
 @query("stream_match", f"WITH {MATCHED} SELECT event_id::BIGINT AS event_id, count(*) AS n FROM matched GROUP BY 1")
 def stream_match(spark, d):
     """Templates matched on a stream, counted in batch."""

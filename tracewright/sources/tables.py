@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,23 +29,27 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+#: splits of text files whose places may be broadcast (24 bytes each)
+BROADCAST_SPLITS = 2_000_000
+
+
 def read_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """(line_no, line) of text files, in order of file and place; the first ``first`` only if asked.
 
-    Order is that of files and offsets within them, so it needs no global sort:
-    each partition's lines are numbered after a count of those before it.
+    Lines are written once with the split they come from; a split's lines are numbered after a
+    count of all splits before it, by file and offset, so there is no global sort.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
-    part = F.shiftright("at", 33).alias("part")
-    sizes = raw.groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a partition
-    before, total = {}, 0
-    for r in sizes:
-        before[r["part"]] = total
-        total += r["n"]
-    if not before:
-        return raw.select(F.lit(0).cast("long").alias("line_no"), "line")
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    out = raw.select((start[F.shiftright("at", 33)] + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long").alias("line_no"), "line")
+    split = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    named = [split.alias("split"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), *named, F.monotonically_increasing_id().alias("at"))
+    raw = settled(raw)
+    splits = raw.groupBy("split", "file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
+    before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")  # one row a split
+    splits = settled(splits.select("split", (before - F.col("low")).alias("shift")))
+    count = splits.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("distinct")).first()
+    if count["n"] != count["distinct"]:
+        raise RuntimeError("two splits share a hash")
+    out = raw.join(F.broadcast(splits) if count["n"] <= BROADCAST_SPLITS else splits, "split").select((F.col("at") + F.col("shift")).alias("line_no"), "line")
     return out if first is None else out.where(F.col("line_no") < first)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import templates as M
-from ..sources.store import scratch_path
+from ..sources.scratch import scratch_path
 
 #: state processors travel whole: their workers do not see files added to the application
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
