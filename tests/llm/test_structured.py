@@ -82,13 +82,17 @@ def test_windows_of_every_width():
     rng = random.Random(24)
     text = " ".join(rng.choice("ab") for _ in range(300)).encode()
     w = K.Words(np.frombuffer(text, np.uint8), np.array([0, 200, len(text)]))
-    words = [w.values[c] for c in w.code]
+    words = [text[a:b] for a, b in zip(w.starts, w.ends)]
     for n in (1, 2, 3, 5, 7, 8, 13, 20, 31):
         h, whole = w.windows(n)
         by = {}
         for k in np.flatnonzero(whole):
             by.setdefault(tuple(words[k : k + n]), set()).add(int(h[k]))
         assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
+    long = [b"x" * n for n in (1, 7, 8, 9, 63, 64, 65, 66, 200)] + [b"x" * 64 + b"y", b"x" * 8 + b"\0", b"\0" * 9]
+    buf, ends = np.frombuffer(b"".join(long * 2), np.uint8), np.cumsum([len(x) for x in long * 2])
+    h = K.word_hashes(buf, np.append(0, ends[:-1]), ends)
+    assert (h[: len(long)] == h[len(long) :]).all() and len(set(h.tolist())) == len(long)
     assert K.Words(np.zeros(0, np.uint8), np.array([0, 0])).windows(3)[0].size == 0
 
 

@@ -3,11 +3,11 @@
 A *chunk* is a run of whole documents laid end to end in one ``uint8`` buffer.
 Kernels never look across a document boundary.
 
-Words are told apart exactly, by Arrow's dictionary; each distinct word has the
-64-bit XXH3 of its bytes, and a window of words the hash of its two parts, mixed
-without a linear form (``joined``). Byte spans have polynomial hashes modulo the
-prime 2**61 - 1 (``Spans``). Neither has the structure by which sums modulo 2**64
-give equal hashes to different regular strings.
+Words have 64-bit hashes of their bytes, eight at a time, and windows of words the
+hash of their two parts, each step mixed without a linear form (``joined``). Byte
+spans have polynomial hashes modulo the prime 2**61 - 1 (``Spans``). Neither has
+the structure by which sums modulo 2**64 give equal hashes to different regular
+strings. Where strings must be told apart exactly, ``coded`` compares them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 
 U = np.uint64
 #: bytes of text handled at once; temporaries are about 40 times this
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _PRIME = (1 << 61) - 1
 _RADIX = 0x1B873593CC9E2D51 % _PRIME
 
@@ -63,35 +63,40 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the radix and of its inverse modulo 2**61 - 1, grown on demand."""
+    """Powers of the radix modulo 2**61 - 1, in two halves, and of its inverse, grown on demand."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, U)
+        self.low, self.high = self.up, self.up >> U(31)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def upto(self, n: int) -> _Powers:
         while len(self.up) < n:
             k = len(self.up)
             self.up = np.concatenate((self.up, product(self.up, U(pow(_RADIX, k, _PRIME)))))
             self.down = np.concatenate((self.down, product(self.down, U(pow(_RADIX, -k, _PRIME)))))
-        return self.up, self.down
+            self.low, self.high = self.up & U((1 << 31) - 1), self.up >> U(31)
+        return self
 
 
 _POW = _Powers()
 
 
 class Spans:
-    """Hashes of byte spans of a buffer of under 16 MiB: sums of (byte + 1) * radix**place modulo 2**61 - 1."""
+    """Hashes of byte spans of a buffer of under 16 MiB: sums of byte * radix**place modulo 2**61 - 1.
+
+    They tell spans of equal length apart; a zero byte more is not seen.
+    """
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
         if n >= 1 << 24:
             raise ValueError("the buffer is too long")
-        up, self.down = _POW.upto(n + 1)
+        powers = _POW.upto(n + 1)
+        self.down, wide, work = powers.down, buf.astype(U), np.empty(n, U)
         # in two halves of the powers, whose sums stay below 2**64 without reduction
         self.low, self.high = np.zeros(n + 1, U), np.zeros(n + 1, U)
-        digit = buf.astype(U) + U(1)
-        np.cumsum(digit * (up[:n] & U((1 << 31) - 1)), out=self.low[1:])
-        np.cumsum(digit * (up[:n] >> U(31)), out=self.high[1:])
+        np.cumsum(np.multiply(wide, powers.low[:n], out=work), out=self.low[1:])
+        np.cumsum(np.multiply(wide, powers.high[:n], out=work), out=self.high[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the spans [start, end)."""
@@ -100,15 +105,21 @@ class Spans:
         return mix(product(_reduced(x), self.down[starts]))
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as a number; those that fit."""
+    out = np.empty(max(len(buf) - 7, 0), U)
+    for k in range(min(8, len(out))):
+        m = len(out[k::8])
+        out[k::8] = buf[k : k + 8 * m].view("<u8")
+    return out
+
+
 def grams(buf: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` bytes (8 to 16) from each byte on, those that fit; to choose places by, not to compare."""
     n = len(buf) - width + 1
     if n <= 0:
         return np.zeros(0, U)
-    eight = np.empty(len(buf) - 7, U)
-    for k in range(8):
-        m = len(eight[k::8])
-        eight[k::8] = buf[k : k + 8 * m].view("<u8")
+    eight = eights(buf)
     return joined(eight[:n], eight[width - 8 :])
 
 
@@ -142,16 +153,36 @@ def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def coded(buf: np.ndarray, solid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Codes and values of the strings of these sizes that the bytes marked ``solid`` make up, in order."""
+def coded(buf: np.ndarray, solid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each of the strings of these sizes that the bytes marked ``solid`` make up in order: equal if they are."""
     flat, ends = buf[solid], np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=ends[1:])
-    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
-    return made.indices.to_numpy(), made.dictionary.to_pylist()
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode().indices.to_numpy()
+
+
+#: longest word hashed eight bytes at a time, for all words together
+_SHORT = 64
+_LOWEST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U) + U(0x632BE59BD9B4E019))
+    eight = eights(np.concatenate((buf, np.zeros(8, np.uint8))))
+    here = np.flatnonzero(sizes <= _SHORT)
+    for k in range(0, _SHORT, 8):
+        here = here[sizes[here] > k]
+        if not len(here):
+            break
+        out[here] = joined(out[here], eight[starts[here] + k] & _LOWEST[np.minimum(sizes[here] - k, 8)])
+    for i in np.flatnonzero(sizes > _SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, documents, codes by value, hashes."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, documents, hashes."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
         n = len(buf)
@@ -167,8 +198,15 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(off) - 1), self.counts)
         self.pos = np.arange(len(self.starts)) - self.first[self.doc]
-        self.code, self.values = coded(LOWERED[buf] if lower else buf, solid, self.ends - self.starts)
-        self.hash = np.array([xxhash.xxh3_64_intdigest(v) for v in self.values], U)[self.code] if len(self.code) else np.zeros(0, U)
+        self.buf = LOWERED[buf] if lower else buf
+        self.hash = word_hashes(self.buf, self.starts, self.ends)
+
+    def codes(self, which: np.ndarray) -> np.ndarray:
+        """A number for each of some words, in order: equal if they are."""
+        edge = np.zeros(len(self.buf) + 1, np.int8)
+        edge[self.starts[which]] += 1
+        edge[self.ends[which]] -= 1
+        return coded(self.buf, np.cumsum(edge[:-1], dtype=np.int8) > 0, self.ends[which] - self.starts[which])
 
     def windows(self, w: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``w`` words from each word on, and whether they lie in one document."""

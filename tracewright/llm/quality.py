@@ -75,7 +75,15 @@ _CLASS = _classes()
 N_CLASS, N_WORD = 7, len(_NAMES) + 1
 
 
-_AT = {n.encode(): k for k, n in enumerate(_NAMES)}
+def _name_hashes() -> tuple[np.ndarray, np.ndarray]:
+    raw = [n.encode() for n in _NAMES]
+    ends = np.cumsum([len(r) for r in raw])
+    h = K.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]), ends)
+    order = np.argsort(h)
+    return h[order], order
+
+
+_HASHES, _ORDER = _name_hashes()
 
 
 def measure(column: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
@@ -115,13 +123,16 @@ def _measure(buf: np.ndarray, off: np.ndarray, out: dict[str, np.ndarray]) -> No
     doc = np.searchsorted(off, starts, "right") - 1
     ends = ends - (buf[ends - 1] == 10)
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
-    code, _ = K.coded(buf, buf != 10, ends - starts)
+    code = K.coded(buf, buf != 10, ends - starts)
     lines = doc[has] * (int(code.max(initial=0)) + 1) + code[has]
     order = np.argsort(lines, kind="stable")
     same = np.flatnonzero(lines[order][1:] == lines[order][:-1]) + 1
     out["n_dup_lines"][:] = np.bincount(doc[has][order][same], minlength=n)
     # common words
-    name = np.array([_AT.get(v.lower(), N_WORD - 1) for v in w.values], np.int64)[w.code] if len(w.code) else w.doc
+    low = K.word_hashes(K.LOWERED[buf], w.starts, w.ends)
+    k = np.searchsorted(_HASHES, low)
+    k[k == len(_HASHES)] = 0
+    name = np.where(_HASHES[k] == low, _ORDER[k], N_WORD - 1)
     out["common"][:] = np.bincount(w.doc * N_WORD + name, minlength=n * N_WORD).reshape(n, N_WORD)
 
 
@@ -132,10 +143,18 @@ def _repeated(w: K.Words) -> np.ndarray:
     key = K.joined(h[at], w.doc[at].astype(K.U))
     mine = K.within(key, K.distinct(key)[1])
     at, key = at[mine], key[mine]
+    if not len(at):
+        return at
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
-    rows = np.column_stack((w.doc[at], *(w.code[at + k] for k in range(REPEAT_WINDOW))))
-    if len(at) and (rows[1:] != rows[:-1])[key[1:] == key[:-1]].any():  # a hash stands for several windows
+    inside = np.zeros(len(w.starts) + REPEAT_WINDOW + 1, np.int32)
+    inside[at] += 1
+    np.add.at(inside, at + REPEAT_WINDOW, -1)
+    words = np.flatnonzero(np.cumsum(inside)[: len(w.starts)] > 0)
+    code = np.zeros(len(w.starts), np.int64)
+    code[words] = w.codes(words)
+    rows = np.column_stack((w.doc[at], *(code[at + k] for k in range(REPEAT_WINDOW))))
+    if (rows[1:] != rows[:-1])[key[1:] == key[:-1]].any():  # a hash stands for several windows
         _, group, often = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
         at = at[often[group.reshape(-1)] > 1]
     return np.sort(at)

@@ -64,7 +64,7 @@ HOT = 512
 PEERS = 64
 #: contexts that make a batch of the index family
 BATCH = 1024
-STEP = 1 << 20
+STEP = 1 << 18
 _PLACE = 24  # bits of a packed place
 
 CORES = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
