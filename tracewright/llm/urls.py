@@ -5,14 +5,20 @@ starts with the rule's path; the longest rule decides. Where none fits, the
 method does: names in host and path are split into words by unigram Viterbi,
 and multinomial naive Bayes over the words gives block or allow.
 
-Unigrams are words of all pages' text and delimited names of all urls, counted
-in parallel and kept above a share of MIN_SHARE of all words, which bounds the
-model to 1 / MIN_SHARE words. The classifier is fitted on labelled rows: urls
-that a rule decides, at most TRAIN_ROWS of them, picked by hash, and the fixed
-word lists below, each word counted SEED_WEIGHT times. What the rules themselves
-name (a suffix, a language) says nothing where no rule fits, so these names,
-numbers and words under three letters are no features. A url is blocked if the
-odds of block exceed BLOCK_ODDS to one.
+Unigrams are words of all pages' text, counted in parallel and kept above a share
+of MIN_SHARE of all words, which bounds the model to 1 / MIN_SHARE words. Names of
+urls are not counted: a host would else be a word of its own and never be split.
+
+The classifier is fitted on labelled rows: urls that a rule decides. Its unit is
+the host, not the page: all pages of a host with one verdict are one observation,
+with each word of the host and each distinct word of its paths, so that a large
+host does not teach its own name. At most TRAIN_ROWS distinct (host, verdict, path
+name) are taken, picked by hash of the host. A hyphen of a host is a token like its
+words. What the rules themselves name (a suffix, a language) says nothing where no
+rule fits, so these names, numbers and words under three letters are no features.
+The fixed word lists below are a prior: each word counts SEED_WEIGHT times, which
+is once, as if one host had it. A url is blocked if the odds of block exceed
+BLOCK_ODDS to one.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule, and is judged by the class priors alone; a null html counts no words;
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,9 +42,9 @@ from .scratch import settle
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 TRAIN_ROWS = 20_000
-SEED_WEIGHT = 200
+SEED_WEIGHT = 1
 MIN_SHARE = 1e-5
-BLOCK_ODDS = 9.0
+BLOCK_ODDS = 5.0
 LONGEST = 24
 # Words that name unwanted and ordinary sites.
 BLOCK_WORDS = ("adult", "bet", "betting", "bonus", "casino", "cheap", "crack", "dating", "escort", "free", "gambling", "hack", "jackpot", "keygen", "loan", "loans", "lottery", "nude", "payday", "pharmacy", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "viagra", "warez", "x", "xxx")
@@ -72,19 +79,18 @@ def _ruled(pages: DataFrame, url_col: str, keep: list[Column], rules: tuple) ->
     return base.withColumn("host", host).withColumn("path", path).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).drop("__tw_url")
 
 
-def unigrams(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_share: float = MIN_SHARE) -> dict[str, float]:
+def unigrams(pages: DataFrame, html_col: str = "html", min_share: float = MIN_SHARE) -> dict[str, float]:
     """Log-probability of each word that makes up at least ``min_share`` of all words of all pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: Counter[str] = Counter()
-            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for html in b.column(0).to_pylist():
                 n.update(_WORD.findall(_TAG.sub(" ", html or "").lower()))
-                n.update(_WORD.findall((url or "").lower()))
             words = [w for w in n if len(w) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64())], names=["word", "n"])
 
-    counted = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = pages.select(F.col(html_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = settle(counted)
     every = counted.agg(F.sum("n")).first()[0] or 0
     kept = counted.where(F.col("n") >= max(2, every * min_share)).collect()  # at most 1 / min_share words
@@ -126,9 +132,9 @@ class Segmenter:
 
 
 def features(host: str, path: str, cut: Segmenter, named: frozenset[str] = frozenset()) -> list[str]:
-    """Segmented words of host and path, without those in ``named``, numbers and words under three letters."""
+    """Hyphens of the host and segmented words of host and path, without those in ``named``, numbers and words under three letters."""
     words = [w for name in _NAME.findall(host + " " + path.lower()) if name not in named and not name[0].isdigit() for w in cut.words(name)]
-    return [w for w in words if len(w) > 2 and w not in named]
+    return ["-"] * host.count("-") + [w for w in words if len(w) > 2 and w not in named]
 
 
 def rule_names(rules: tuple) -> frozenset[str]:
@@ -156,12 +162,41 @@ class Bayes:
         return self.prior + math.fsum(self.odds.get(w, 0.0) for w in words)
 
 
+def labelled(ruled: DataFrame, train_rows: int = TRAIN_ROWS) -> list[tuple[str, str, list[str]]]:
+    """(host, rule's verdict as ``block``, names in paths) of the hosts that rules decide, from at most ``train_rows`` distinct rows."""
+    names = F.array_distinct(F.array_append(F.regexp_extract_all(F.lower("path"), F.lit(r"\p{L}+"), F.lit(0)), F.lit("")))
+    rows = ruled.select("host", "verdict", F.explode(names).alias("name")).distinct()
+    sample = rows.orderBy(F.xxhash64("host"), "host", "verdict", "name").limit(train_rows).collect()
+    found: dict[tuple[str, str], list[str]] = {}
+    for r in sample:
+        found.setdefault((r["host"], r["verdict"]), []).append(r["name"])
+    return [(host, verdict, names) for (host, verdict), names in sorted(found.items())]
+
+
+def fitted(hosts: list[tuple[str, str, list[str]]], cut: Segmenter, rules: tuple = RULES) -> Bayes:
+    named = rule_names(rules)
+    return Bayes([(features(host, " ".join(names), cut, named), verdict == "block") for host, verdict, names in hosts])
+
+
 def fit(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: tuple = RULES, train_rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE) -> tuple[Segmenter, Bayes]:
-    cut = Segmenter(unigrams(pages, url_col, html_col, min_share))
-    verdicts = dict(rules)
-    ruled = _ruled(pages, url_col, [], rules).where(F.col("rule").isNotNull()).select("host", "path", "rule")
-    sample = ruled.orderBy(F.xxhash64("host", "path"), "host", "path").limit(train_rows).collect()
-    return cut, Bayes([(features(r["host"], r["path"], cut, rule_names(rules)), verdicts[r["rule"]] == "block") for r in sample])
+    cut = Segmenter(unigrams(pages, html_col, min_share))
+    ruled = _ruled(pages, url_col, [], rules).where(F.col("rule").isNotNull())
+    verdict = F.lit(None).cast("string")
+    for rule, says in rules:
+        verdict = F.when(F.col("rule") == rule, F.lit(says)).otherwise(verdict)
+    return cut, fitted(labelled(ruled.select("host", "path", verdict.alias("verdict")), train_rows), cut, rules)
+
+
+def held_out(hosts: list[tuple[str, str, list[str]]], cut: Segmenter, rules: tuple = RULES, folds: int = 5, odds: float = BLOCK_ODDS) -> tuple[int, int, int, int]:
+    """Of hosts that were not fitted on: rightly blocked, wrongly blocked, missed, rightly allowed, by the rules' verdicts."""
+    named, out = rule_names(rules), [0, 0, 0, 0]
+    fold = lambda host: zlib.crc32(host.encode()) % folds
+    for k in range(folds):
+        bayes = fitted([h for h in hosts if fold(h[0]) != k], cut, rules)
+        for host, verdict, names in (h for h in hosts if fold(h[0]) == k):
+            says = bayes.score(features(host, " ".join(names), cut, named)) > math.log(odds)
+            out[(0 if says else 2) if verdict == "block" else (1 if says else 3)] += 1
+    return tuple(out)
 
 
 def url_filter(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_rows: int = TRAIN_ROWS) -> DataFrame:
