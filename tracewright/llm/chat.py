@@ -1,7 +1,8 @@
 """Chat formatting in Spark expressions only.
 
-Turns of a conversation are collected as structs, sorted by (turn, role, text)
-and written one block per run of turns of the same role:
+Turns of a conversation are collected as structs, sorted by (turn, role, text),
+merged by an aggregation over the array into runs of the same role, and written one
+block per run:
 
     <|im_start|>role\\ntext<|im_sep|>text<|im_end|>\\n
 
@@ -39,14 +40,25 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """One row per conversation: ``conv_id``, ``formatted``, ``loss_spans``."""
     part = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sorted_turns = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(part)).alias("t"))
-    same = lambda i, step: F.get("t", i + step)["role"] == F.get("t", i)["role"]
-    piece = lambda t, i: F.struct(
-        F.when((i > 0) & same(i, -1), F.lit(SEP)).otherwise(F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(NL)), F.lit("\n"))).alias("head"),
-        escaped(t["text"]).alias("body"),
-        F.when(F.coalesce(same(i, 1), F.lit(False)), F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"),
-        (t["role"] == loss_role).alias("loss"),
+    last = lambda runs: F.get(runs, F.size(runs) - 1)
+    run = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
+    merged = F.aggregate(
+        "t",
+        F.array().cast("array<struct<role:string,texts:array<string>>>"),
+        lambda runs, x: F.when(last(runs)["role"] == x["role"], F.array_append(F.slice(runs, 1, F.size(runs) - 1), run(x["role"], F.array_append(last(runs)["texts"], x["text"])))).otherwise(
+            F.array_append(runs, run(x["role"], F.array(x["text"])))
+        ),
+    )
+    block = lambda r: F.transform(
+        r["texts"],
+        lambda x, i: F.struct(
+            F.when(i > 0, F.lit(SEP)).otherwise(F.concat(F.lit(START), F.replace(escaped(r["role"]), F.lit("\n"), F.lit(NL)), F.lit("\n"))).alias("head"),
+            escaped(x).alias("body"),
+            F.when(i == F.size(r["texts"]) - 1, F.lit(END + "\n")).otherwise(F.lit("")).alias("tail"),
+            (r["role"] == loss_role).alias("loss"),
+        ),
     )
-    pieces = sorted_turns.select("conv_id", F.transform("t", piece).alias("p"))
+    pieces = sorted_turns.select("conv_id", merged.alias("runs")).select("conv_id", F.flatten(F.transform("runs", block)).alias("p"))
     span = F.aggregate(
         "p",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
