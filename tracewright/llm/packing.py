@@ -25,7 +25,8 @@ of a length are numbered within salts of the piece's hash, each salt starting
 where the counts of those before it end, so that a length with a third of all
 pieces is not one task; the number picks the slot.
 
-Tokeniser. The ranks file holds the same vocabulary as the JSON file; texts are
+Tokeniser. Ids are those that ``tokenizers`` gives with the JSON file. They are computed
+by ``tiktoken`` from the ranks file, which holds the same vocabulary; texts are
 cut at single spaces between other characters, where no token spans, and each
 part is encoded once and remembered (at most CACHE parts a worker, then anew).
 Texts that hold one of the vocabulary's special strings go to the JSON file's
@@ -39,7 +40,6 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import math
 import os
 import re
 import zlib
@@ -141,16 +141,16 @@ Pattern = tuple[tuple[int, ...], int]
 
 def lower_bound(counts: dict[int, int], size: int) -> int:
     """Of the sequences needed: by total length, and for each k with lengths over size - k counted apart."""
-    best = -(-sum(n * c for n, c in counts.items()) // size)
-    lengths = sorted(counts)
-    big_by = [(k, sum(counts[x] for x in lengths if x > size - k)) for k in [x for x in lengths if x <= size // 2]] if len(lengths) <= 4096 else []
-    for k, big in big_by:
-        mid = [x for x in lengths if size // 2 < x <= size - k]
-        middle = sum(counts[x] for x in mid)
-        small = sum(x * counts[x] for x in lengths if k <= x <= size // 2)
-        free = middle * size - sum(x * counts[x] for x in mid)
-        best = max(best, big + middle + max(0, -(-(small - free) // size)))
-    return best
+    lengths = np.array(sorted(counts), np.int64)
+    n = np.array([counts[x] for x in lengths.tolist()], np.int64)
+    pieces, total = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * lengths)))
+    upto = lambda x: np.searchsorted(lengths, x, "right")
+    k = lengths[lengths <= size // 2]
+    half, most = upto(size // 2), upto(size - k)
+    middle, free = pieces[most] - pieces[half], (pieces[most] - pieces[half]) * size - (total[most] - total[half])
+    small = total[half] - total[np.searchsorted(lengths, k)]
+    by_k = pieces[-1] - pieces[most] + middle + np.maximum(0, -(-(small - free) // size))
+    return int(max(-(-total[-1] // size), by_k.max(initial=0)))
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[Pattern]:
@@ -319,7 +319,3 @@ def pack(found: DataFrame, size: int = SIZE, nodes: int = NODES) -> DataFrame:
 def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, nodes: int = NODES, **options) -> DataFrame:
     """Tokenise, cut and pack whole documents."""
     return pack(settle(pieces(docs, size, end_id, **options)), size, nodes)
-
-
-def fill_rate(counts: dict[int, int], size: int, sequences: int) -> float:
-    return math.fsum(k * c for k, c in counts.items()) / (size * sequences) if sequences else 1.0

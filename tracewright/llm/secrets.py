@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import zlib
@@ -148,7 +147,3 @@ def redact(text: str, spans: list[Span], mark: str = "[{kind}]") -> str:
             out += [text[at:start], mark.format(kind=kind)]
         at = max(at, end)
     return "".join(out) + text[at:]
-
-
-def base_digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined([s for s in spans if s[0] in BASE]).encode()).hexdigest()
