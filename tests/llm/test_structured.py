@@ -153,3 +153,25 @@ def test_long_texts_quality(spark, long_rows):
 
 def test_long_texts_near(spark, long_rows):
     compare(neardup.near_duplicates(brute.frame(spark, long_rows)), brute.near(long_rows), "doc_id", "n_shingles", "component_id", "kept")
+
+
+def test_family_of_edited_copies(spark, monkeypatch):
+    """All pairs are near the limit: few are verified at first, and no link between components is lost."""
+    rng, rows = random.Random(27), []
+    base = [f"w{k}" for k in range(400)]
+    for k in range(60):  # pairs agree in about three quarters of their shingles
+        words = list(base)
+        for j in rng.sample(range(0, 400, 5), 6):
+            words[j] = f"x{k}-{j}"
+        rows.append((k, " ".join(words), "en", "s"))
+    rows += [(100 + k, " ".join(f"y{k}-{j}" for j in range(40)), "en", "s") for k in range(5)]
+    told = []
+    cluster = neardup._cluster
+    sets = [neardup._distinct(*neardup.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))[0] for _, t, *_ in rows[:60]]
+    for near in (1, 8, 10**6):
+        monkeypatch.setattr(neardup, "NEAR", near)
+        told.append(cluster(np.array([len(s) for s in sets]), neardup.wide_bits(sets)))
+    assert [len(t[0]) for t in told] == sorted({len(t[0]) for t in told}) and len(told[1][0]) <= 480 and told[0][1] and told[1][1] and not told[2][1]
+    for near in (1, 8):
+        monkeypatch.setattr(neardup, "NEAR", near)
+        compare(neardup.near_duplicates(brute.frame(spark, rows)), brute.near(rows), "doc_id", "n_shingles", "component_id", "kept")

@@ -19,10 +19,11 @@ of about BLOCK, in which wide sketches are compared: estimates are off by more
 than MARGIN with a probability of about 2 in a million, so a pair is *surely*
 linked above, *open* between, and dismissed below. Only a star around the first
 member of each surely linked cluster is told, and open pairs between clusters;
-so a group of copies sends about one pair a member. Every pair told is verified
-on the full sets, and verified links alone connect. Buckets of several blocks
-then compare members outside their largest component with all others, block by
-block. No candidate is capped or sampled.
+so a group of copies sends about one pair a member. Of open pairs, each member's
+NEAR likeliest come first. Every pair told is verified on the full sets, and
+verified links alone connect. Buckets of several blocks, and those with open pairs
+left, then compare members outside their largest component with all others, block
+by block: what is not told is connected already. No candidate is capped or sampled.
 
 Defined cases: a document without words has an empty set, no links, and stands
 for itself; a null id counts as one id later than all others. A set stands under
@@ -57,6 +58,8 @@ MARGIN = 4.75 * 2 * (7 / 64 / WIDE) ** 0.5
 SKETCHED = 512
 #: members of a bucket compared in one task
 BLOCK, OUTSIDE = 1024, 256
+#: open pairs of a member that are verified before the others
+NEAR = 8
 #: ids that may be broadcast (8 bytes each)
 BROADCAST_IDS = 500_000
 
@@ -201,9 +204,9 @@ def _estimates(wide: np.ndarray, n: np.ndarray, one: int, others: np.ndarray) ->
 _SURE, _OPEN = PERCENT / 100 + MARGIN, PERCENT / 100 - MARGIN
 
 
-def _cluster(n: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs to verify in a block: stars of sure links, and open pairs between clusters."""
-    m, out = len(n), []
+def _cluster(n: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs to verify in a block: stars of sure links, and each member's likeliest open pairs between clusters; and whether others are left."""
+    m, out, left = len(n), [], False
     cluster, rest = np.full(m, -1), np.arange(m)
     while len(rest):
         first, rest = rest[0], rest[1:]
@@ -227,12 +230,18 @@ def _cluster(n: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
                 root[c] = c = root[root[c]]
             return c
 
+        told = np.zeros(m, int)
         for x, y, e in sorted(found, key=lambda f: -f[2]):
-            if of(x) != of(y):
-                out.append((x, y))
-                if e >= _SURE:
-                    root[of(x)] = of(y)
-    return out
+            if of(x) == of(y):
+                continue
+            if e < _SURE and min(told[x], told[y]) >= NEAR:
+                left = True
+                continue
+            out.append((x, y))
+            told[[x, y]] += 1
+            if e >= _SURE:
+                root[of(x)] = of(y)
+    return out, left
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -264,19 +273,27 @@ def _wide(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("wide").to_pylist()), K.U).reshape(t.num_rows, WIDE // 64)
 
 
-def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _pairs(a: list[int], b: list[int], keys: list[int] | None = None) -> pa.RecordBatch:
+    """Pairs, and after them the keys of buckets with open pairs left."""
+    if keys is None:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    none = [None] * len(keys)
+    return pa.RecordBatch.from_arrays([pa.array(a + none, pa.int64()), pa.array(b + none, pa.int64()), pa.array([None] * len(a) + keys, pa.int64())], names=["a", "b", "open_key"])
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs told by each block (key, block, rep, n, wide, bands), each in the first bucket that it shares.
 
     That loses no connection: what a star in a later bucket joins by a pair told
-    earlier was joined there.
+    earlier was joined there. An open pair that its first bucket leaves is left to
+    the comparison of that bucket's outside members.
     """
-    a, b = [], []
+    a, b, keys = [], [], []
     for t in _runs(batches, 2):
-        if t.num_rows > 1 and (found := _cluster(t.column("n").to_numpy(), _wide(t))):
+        found, left = _cluster(t.column("n").to_numpy(), _wide(t)) if t.num_rows > 1 else ([], False)
+        if left:
+            keys.append(t.column("key")[0].as_py())
+        if found:
             rep, key = t.column("rep").to_numpy(), t.column("key")[0].as_py()
             bands_of = np.array(t.column("bands").to_pylist(), np.int64)
             x, y = np.array(found).T
@@ -286,9 +303,9 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a += np.minimum(x, y)[x != y].tolist()
             b += np.maximum(x, y)[x != y].tolist()
         if len(a) > 50_000:
-            yield _pairs(a, b)
-            a, b = [], []
-    yield _pairs(a, b)
+            yield _pairs(a, b, keys)
+            a, b, keys = [], [], []
+    yield _pairs(a, b, keys)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +327,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossed(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Open pairs of buckets with several blocks, between members outside the largest component and all others."""
-    now = members.where(F.col("size") > BLOCK).join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    """Open pairs of the buckets of some members, between members outside the largest component and all others."""
+    now = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     each = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     most = each.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c")).alias("n_out"), "all").where("n_out > 0")
     now = settle(now.join(most, "key").select("key", "rep", "n", "component", (F.col("component") != F.col("main")).alias("is_out"), F.ceil(F.col("n_out") / OUTSIDE).cast("int").alias("outs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("alls")))
@@ -339,11 +356,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int")
     # by the set itself: an id may stand for several
     dealt = members.join(sets.select("set_key", "wide"), "set_key").join(classes.select("set_key", "bands"), "set_key").select("key", block.alias("block"), "rep", "n", "wide", "bands")
-    told = settle(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_within, "a long, b long").distinct())
+    told = settle(dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_within, "a long, b long, open_key long").distinct())
+    left = small(told.where("open_key IS NOT NULL").select(F.col("open_key").alias("key")).distinct(), broadcast_ids)
+    told = told.where("open_key IS NULL").select("a", "b")
     links = _verify(told, sets)
     comps = components(links, links.count())
-    if not members.where(F.col("size") > BLOCK).isEmpty():
-        more = settle(_crossed(members, comps, sets).join(told, ["a", "b"], "left_anti"))
+    large = members.where(F.col("size") > BLOCK)
+    more = large.unionByName(members.where(F.col("size") <= BLOCK).join(left, "key", "left_semi")) if not left.isEmpty() else large
+    if not more.isEmpty():
+        more = settle(_crossed(more, comps, sets).join(told, ["a", "b"], "left_anti"))
         links = links.unionByName(_verify(more, sets))
         comps = components(links, links.count())
 
