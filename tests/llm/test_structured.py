@@ -172,6 +172,7 @@ def test_family_of_edited_copies(spark, monkeypatch):
         monkeypatch.setattr(neardup, "NEAR", near)
         told.append(cluster(np.array([len(s) for s in sets]), neardup.wide_bits(sets)))
     assert [len(t[0]) for t in told] == sorted({len(t[0]) for t in told}) and len(told[1][0]) <= 480 and told[0][1] and told[1][1] and not told[2][1]
+    assert all(len(t[0]) + len(t[1]) >= len(told[2][0]) for t in told)
     for near in (1, 8):
         monkeypatch.setattr(neardup, "NEAR", near)
         compare(neardup.near_duplicates(brute.frame(spark, rows)), brute.near(rows), "doc_id", "n_shingles", "component_id", "kept")

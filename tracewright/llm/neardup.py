@@ -59,7 +59,7 @@ SKETCHED = 512
 #: members of a bucket compared in one task
 BLOCK, OUTSIDE = 1024, 256
 #: open pairs of a member that are verified before the others
-NEAR = 8
+NEAR = 32
 #: ids that may be broadcast (8 bytes each)
 BROADCAST_IDS = 500_000
 
@@ -204,9 +204,9 @@ def _estimates(wide: np.ndarray, n: np.ndarray, one: int, others: np.ndarray) ->
 _SURE, _OPEN = PERCENT / 100 + MARGIN, PERCENT / 100 - MARGIN
 
 
-def _cluster(n: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs to verify in a block: stars of sure links, and each member's likeliest open pairs between clusters; and whether others are left."""
-    m, out, left = len(n), [], False
+def _cluster(n: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs to verify in a block: stars of sure links, and each member's likeliest open pairs between clusters; and the open pairs left."""
+    m, out, left = len(n), [], []
     cluster, rest = np.full(m, -1), np.arange(m)
     while len(rest):
         first, rest = rest[0], rest[1:]
@@ -216,7 +216,7 @@ def _cluster(n: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], bo
         out += [(first, x) for x in rest[sure]]
         cluster[rest[sure]] = first
         rest = rest[~sure]
-    if len(np.unique(cluster)) > 1:  # across clusters: one sure pair joins two of them, open ones are all told
+    if len(np.unique(cluster)) > 1:  # across clusters: one sure pair joins two of them, open ones come by likelihood
         found: list[tuple[int, int, float]] = []
         for x in range(m - 1):
             others = np.flatnonzero(cluster[x + 1 :] != cluster[x]) + x + 1
@@ -235,7 +235,7 @@ def _cluster(n: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], bo
             if of(x) == of(y):
                 continue
             if e < _SURE and min(told[x], told[y]) >= NEAR:
-                left = True
+                left.append((x, y))
                 continue
             out.append((x, y))
             told[[x, y]] += 1
@@ -290,16 +290,19 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     a, b, keys = [], [], []
     for t in _runs(batches, 2):
-        found, left = _cluster(t.column("n").to_numpy(), _wide(t)) if t.num_rows > 1 else ([], False)
-        if left:
-            keys.append(t.column("key")[0].as_py())
+        found, left = _cluster(t.column("n").to_numpy(), _wide(t)) if t.num_rows > 1 else ([], [])
         if found:
             rep, key = t.column("rep").to_numpy(), t.column("key")[0].as_py()
             bands_of = np.array(t.column("bands").to_pylist(), np.int64)
-            x, y = np.array(found).T
-            equal = bands_of[x] == bands_of[y]
-            first = bands_of[x, equal.argmax(1)] == key
-            x, y = rep[x[first]], rep[y[first]]
+
+            def here(pairs: list[tuple[int, int]], bands_of=bands_of, key=key) -> tuple[np.ndarray, np.ndarray]:
+                x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+                first = bands_of[x, (bands_of[x] == bands_of[y]).argmax(1)] == key
+                return x[first], y[first]
+
+            if len(here(left)[0]):
+                keys.append(key)
+            x, y = (rep[i] for i in here(found))
             a += np.minimum(x, y)[x != y].tolist()
             b += np.maximum(x, y)[x != y].tolist()
         if len(a) > 50_000:
