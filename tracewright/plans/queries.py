@@ -742,6 +742,18 @@ def store_indexed_search(spark, d):
     return search.indexed(store.read(spark, path), store.tokens(spark, path), ["rid=00", "view"]).hits.select("line_no", "line")
 
 
+@query("store_unknown_lines", "SELECT count(*) AS n, count(*) AS n_raw, 0::BIGINT AS n_different, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS n_hits FROM events")
+def store_unknown_lines(spark, d):
+    """A store straight from a log, without templates, and a search by its index."""
+    path = store.scratch_path(spark)
+    store.write(_trace(spark, d), [], path, "hot")
+    back = store.read(spark, path)
+    hits = search.indexed(back, store.tokens(spark, path), ["tool_call::purchase"]).hits.agg(F.count(F.lit(1)).alias("n_hits"))
+    met = _trace(spark, d).join(back.select("line_no", F.col("line").alias("restored"), "event_id"), "line_no", "full")
+    found = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id").isNull()).alias("n_raw"), F.count_if(~F.col("line").eqNullSafe(F.col("restored"))).alias("n_different"))
+    return found.crossJoin(hits)  # one row each
+
+
 @query("store_packet_range", f"WITH {TRACE} SELECT line_no, line FROM trace WHERE line_no // 60 BETWEEN 2 AND 3")
 def store_packet_range(spark, d):
     path = store.scratch_path(spark)
