@@ -64,9 +64,10 @@ def search(lines: DataFrame, keywords: list[str], mode: str = "and", line: str =
     needs = any(re.match(r"(k|v|kv|n):", w) for w in words)
     tool = trace.loose_tool(text)
     if needs:  # what cannot match is dropped before JSON is flattened
-        lines = lines.withColumn("__payload", trace.loose_payload(text)).withColumn("__json", F.try_parse_json(F.lower("__payload")))
-        may = [possible(w, F.col("__payload"), F.col("__json")) if re.match(r"(k|v|kv|n):", w) else p if (p := structured(w, tool, F.lit(None))) is not None else plain(w, text) for w in words]
-        lines = lines.where(_all(may, mode)).drop("__json").withColumn("__leaf", trace.leaves(F.col("__payload"))).drop("__payload")
+        payload = trace.loose_payload(text)
+        cheap = [p if (p := structured(w, tool, F.lit(None))) is not None else plain(w, text) for w in words if not re.match(r"(k|v|kv|n):", w)]
+        dear = [possible(w, payload) for w in sorted(words, key=lambda w: w.startswith("k:")) if re.match(r"(k|v|kv|n):", w)]  # a key alone says least
+        lines = lines.where(_all([*cheap, *dear], mode)).withColumn("__leaf", trace.leaves(payload))
     parts = [p if (p := structured(w, tool, F.col("__leaf"))) is not None else plain(w, text) for w in words]
     return lines.where(_all(parts, mode)).drop("__leaf")
 
@@ -98,17 +99,17 @@ def _readings(path: str) -> list[str]:
     return ["$" + p for p in (keys(path) + (behind(path) if path[0] == "[" else []))]
 
 
-def possible(token: str, payload: Column, json: Column) -> Column:
+def possible(token: str, payload: Column) -> Column:
     """Whether a payload may match a structured token; false only where it cannot.
 
-    ``json`` is the payload in lower case as a variant. Payloads that are none (a repeated key, say), hold an
+    The payload is looked at in lower case as a variant. Payloads that are none (a repeated key, say), hold an
     escape or characters outside ASCII pass untested.
     """
-    open_ = json.isNull() | F.contains(payload, F.lit("\\")) | (F.length(payload) != F.octet_length(payload))
+    open_ = F.contains(payload, F.lit("\\")) | (F.length(payload) != F.octet_length(payload))
     kind, _, rest = token.partition(":")
     path, _, value = rest.partition("=")
     if kind == "v":
-        return payload.isNotNull() & (open_ | F.contains(F.lower(payload), F.lit(rest)))
+        return payload.isNotNull() & (F.contains(F.lower(payload), F.lit(rest)) | open_)
     path = rest if kind == "k" else path
     if not path or len(path) > 200 or re.search(r"['\"\\]", path) or path.count(".") + path.count("[") > 5:
         return payload.isNotNull()
@@ -118,15 +119,22 @@ def possible(token: str, payload: Column, json: Column) -> Column:
     except ValueError:
         if kind == "n":
             return F.lit(False)
-    hit = F.lit(False)
-    for p in _readings(path):
-        there = F.try_variant_get(json, p, "variant").isNotNull()
-        if number is not None:
-            there = there & (F.coalesce(F.try_variant_get(json, p, "double") == number, F.lit(False)) | (F.lower(F.trim(F.try_variant_get(json, p, "string"))) == value))
-        elif kind == "kv":
-            there = there & (F.lower(F.trim(F.try_variant_get(json, p, "string"))) == value) if value != "none" else there
-        hit = hit | F.coalesce(there, F.lit(False))
-    return payload.isNotNull() & (open_ | hit)
+
+    def hit(json: Column) -> Column:
+        out = json.isNull()
+        for p in _readings(path):
+            text = F.lower(F.trim(F.try_variant_get(json, p, "string"))) == value
+            if number is not None:
+                there = F.coalesce(F.try_variant_get(json, p, "double") == number, F.lit(False)) | F.coalesce(text, F.lit(False))
+            elif kind == "kv" and value != "none":
+                there = F.coalesce(text, F.lit(False))
+            else:
+                there = F.try_variant_get(json, p, "variant").isNotNull()
+            out = out | there
+        return out
+
+    # bound to a variable, the payload is parsed once
+    return payload.isNotNull() & (open_ | F.exists(F.array(F.try_parse_json(F.lower(payload))), hit))
 
 
 def keywords(lines: DataFrame, terms: list[str], mode: str = "and", line: str = "line") -> DataFrame:
