@@ -847,7 +847,7 @@ def _streams(spark, d):
 
 def _protocol(kind: str) -> None:
     def run(spark, d):
-        written = incremental.drained(protocol.stream_records(_streams(spark, d), kind))
+        written = incremental.drained(protocol.stream_records(_streams(spark, d), kind), protocol.PARTITIONS)
         return protocol.lines_of(written, kind).select("line_no", "line")
 
     run.__doc__ = f"Records of kind {kind} written by a stream, and the lines out of them again."
