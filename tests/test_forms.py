@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
@@ -119,6 +120,18 @@ def test_auto_forgets_what_stood_alone():
     assert {"ALONE", "DATA"} == set(records)
 
 
+def test_state_processors_leave_kept_bytes_behind():
+    """Over 1 MB Spark broadcasts a processor, and the worker that starts a stream has no broadcasts."""
+    for k in range(forms.KEPT):
+        forms.varint(k)
+        forms.textual(f"{k:060d}")
+    raw = cloudpickle.dumps(protocol._Writer("slots", 64, None))
+    assert len(forms._texts) == forms.KEPT and len(raw) < 1 << 20
+    state = cloudpickle.loads(raw).handleInputRows.__globals__
+    there, here = state["Session"]("words"), protocol.Session("words")
+    assert there.write([0, 1], ["a 1 b", "a 2 b"]) == here.write([0, 1], ["a 1 b", "a 2 b"])
+
+
 def test_closed_dictionary_rejects(spark):
     rows = [(k % 2, k, x) for k, x in enumerate(["a 1", "b 2", "a 3", None, "a 4", "c"])]
     df = spark.createDataFrame(rows, "stream long, line_no long, line string")
